@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, simhash
+from . import bpe, packing, simhash, suffix_dedup
 from .common import table
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,7 @@ def op8_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op6_bpe_round_trip": op6_bpe_round_trip,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_best_two_fit_packing": op8_best_two_fit_packing,
