@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -39,6 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of lineages that were cut: it does so once the driver's objects are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """The column's texts; null counts as empty."""
     return ["" if x is None else x for x in column.to_pylist()]

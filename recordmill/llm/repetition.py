@@ -20,14 +20,14 @@ from .common import extended, map_arrow, texts_of
 
 MIN_WORDS = 8
 #: A text is kept if repeats cover at most this percentage of its words and none is longer than so many words.
-MAX_COVERED_PERCENT = 20
+MAX_COVERED_PERCENT = 30
 MAX_REPEAT_WORDS = 60
 #: Base rules: at least so many words; at most this percentage of words in 8-word windows found twice.
 LEAST_WORDS = 20
 MAX_WINDOW_PERCENT = 30
 SYMBOLS = b"#*$%&|<>"
 #: Words laid end to end at once; a longer text is one block of its own.
-BLOCK_WORDS = 250_000
+BLOCK_WORDS = 60_000
 
 
 def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
@@ -36,7 +36,7 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple
     Prefix doubling; from level to level only suffixes whose rank is shared are sorted again.
     """
     n = len(tokens)
-    array = np.argsort(tokens, kind="stable")
+    array = np.argsort(tokens)
     ordered = tokens[array]
     first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     start = np.maximum.accumulate(np.where(first, np.arange(n), 0))
@@ -54,7 +54,7 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple
             break
         at = array[places]
         key = start[places] * (n + 1) + rank[np.minimum(at + step, n)] + 1
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         array[places] = at[by]
         key = key[by]
         fresh = np.concatenate([[True], key[1:] != key[:-1]])
@@ -115,7 +115,8 @@ class Repetition:
 
 
 def measure(texts_words: list[list[bytes]], least: int = MIN_WORDS) -> tuple[list[Repetition], list[list[tuple[int, int]]]]:
-    """For each text: words, words covered by repeats of `least` words or more, longest repeat; and the repeats' spans (first word, words)."""
+    """For each text: words, words covered by repeats of `least` words or more, longest repeat; and the union of the repeats'
+    spans as maximal runs (first word, words)."""
     results: list[Repetition] = []
     spans: list[list[tuple[int, int]]] = []
     at = 0
@@ -145,18 +146,23 @@ def _measure_block(block: list[list[bytes]], least: int, results: list[Repetitio
     lcp = common_prefixes(array, levels)
     cover = np.zeros(len(tokens) + 1, np.int64)
     longest = np.zeros(len(block), np.int64)
-    found: list[list[tuple[int, int]]] = [[] for _ in block]
+    owner = np.repeat(np.arange(len(block)), sizes + 1)
     for depth, low, high in maximal_repeats(tokens, array, lcp, least):
         places = array[low : high + 1]
         cover[places] += 1
         cover[places + depth] -= 1
-        doc = int(np.searchsorted(ends, places[0], "right"))
+        doc = owner[places[0]]
         longest[doc] = max(longest[doc], depth)
-        found[doc] += [(int(p - starts[doc]), depth) for p in places]
-    hidden = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
+    under = np.cumsum(cover[:-1]) > 0
+    hidden = np.concatenate([[0], np.cumsum(under)])
+    edges = np.diff(np.concatenate([[0], under.astype(np.int8), [0]]))  # a separator is never covered: runs stay in a text
+    low, high = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    found: list[list[tuple[int, int]]] = [[] for _ in block]
+    for a, b in zip(low.tolist(), high.tolist(), strict=True):
+        found[owner[a]].append((a - int(starts[owner[a]]), b - a))
     for i in range(len(block)):
         results.append(Repetition(int(sizes[i]), int(hidden[ends[i] - 1] - hidden[starts[i]]), int(longest[i])))
-        spans.append(sorted(found[i]))
+        spans.append(found[i])
 
 
 def verdict(r: Repetition, max_covered_percent: int = MAX_COVERED_PERCENT, max_repeat_words: int = MAX_REPEAT_WORDS) -> bool:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import covered, cut, map_arrow, numbered, ragged, small_batches
+from .common import covered, cut, map_arrow, numbered, ragged, release, small_batches
 from .suffixes import equal_runs, sorted_suffixes
 
 LENGTH = 100
@@ -190,43 +190,77 @@ def _packed(rows: DataFrame) -> DataFrame:
     return map_arrow(rows, run, schema)
 
 
-def repeated_spans(rows: DataFrame) -> DataFrame:
-    """Spans (row, a, b), not merged, of bytes covered by strings that start earlier. rows: row (unique long), text."""
-    small_batches(rows.sparkSession)
+def _met(rows: DataFrame) -> DataFrame:
+    """Runs whose anchor is met more than once."""
     table = _runs_table(rows)
     often = table.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h")
-    met = cut(table.join(often, "h"))
-    firsts = met.groupBy("h", "c").agg(F.min(F.struct("row", "start", "n")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    firsts = cut(firsts.select("h", "c", F.col("first.row").alias("row"), F.col("first.start").alias("start"), F.col("first.n").alias("n"), "copies"))
+    return table.join(often, "h")
+
+
+def _firsts(met: DataFrame) -> DataFrame:
+    """The first of the runs with the same bytes, and how many there are."""
+    found = met.groupBy("h", "c").agg(F.min(F.struct("row", "start", "n")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    return found.select("h", "c", F.col("first.row").alias("row"), F.col("first.start").alias("start"), F.col("first.n").alias("n"), "copies")
 
-    copied = firsts.where("copies > 1").select("h", "c", F.col("row").alias("row1"), F.col("start").alias("start1"))
-    later = met.join(copied, ["h", "c"]).where("row <> row1 or start <> start1")
-    whole = later.select("row", F.col("start").alias("a"), (F.col("start") + F.col("n") + (LENGTH - 1)).alias("b"))
 
+def _fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The bytes of the runs asked for."""
+    press = zstandard.ZstdDecompressor()
+    out: list[tuple] = []
+    for row, z, asked in zip(*[batch.column(c).to_pylist() for c in ("row", "z", "asked")], strict=True):
+        text = press.decompress(z)
+        out += [(row, x["h"], x["start"], x["n"], x["large"], text[x["start"] : x["start"] + x["n"] + LENGTH - 1]) for x in asked]
+    columns = list(zip(*out, strict=True)) if out else [[]] * 6
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["row", "h", "start", "n", "large", "run"])
+
+
+def _fetched(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The runs, with their bytes, of buckets that hold different ones."""
     buckets = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
     mixed = firsts.join(buckets, "h").select("row", "h", "start", "n", (F.col("different") > BUCKET).alias("large"))
     asked = mixed.groupBy("row").agg(F.collect_list(F.struct("h", "start", "n", "large")).alias("asked"))  # at most a text's own runs
+    return map_arrow(_packed(rows).join(asked, "row"), _fetch, "row long, h long, start int, n int, large boolean, run binary")
 
-    def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        press = zstandard.ZstdDecompressor()
-        out: list[tuple] = []
-        for row, z, asked in zip(*[batch.column(c).to_pylist() for c in ("row", "z", "asked")], strict=True):
-            text = press.decompress(z)
-            out += [(row, x["h"], x["start"], x["n"], x["large"], text[x["start"] : x["start"] + x["n"] + LENGTH - 1]) for x in asked]
-        columns = list(zip(*out, strict=True)) if out else [[]] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["row", "h", "start", "n", "large", "run"])
-
-    fetched = cut(map_arrow(_packed(rows).join(asked, "row"), fetch, "row long, h long, start int, n int, large boolean, run binary"))
+
+def _later_copies(met: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Spans of runs whose bytes came before as a whole."""
+    copied = firsts.where("copies > 1").select("h", "c", F.col("row").alias("row1"), F.col("start").alias("start1"))
+    later = met.join(copied, ["h", "c"]).where("row <> row1 or start <> start1")
+    return later.select("row", F.col("start").cast("long").alias("a"), (F.col("start") + F.col("n") + (LENGTH - 1)).cast("long").alias("b"))
+
+
+def _sorted_repeats(fetched: DataFrame) -> DataFrame:
+    parts = int(fetched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = fetched.where("not large").select("h", "row", "start", "n", "run")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = small.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_sort_blocks, "row long, a long, b long")
+    return small.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_sort_blocks, "row long, a long, b long")
+
 
+def _dealt_repeats(fetched: DataFrame) -> DataFrame:
+    """Repeats among the runs of large buckets, whose strings are dealt out by their hash."""
+    parts = int(fetched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     windows = map_arrow(fetched.where("large").select("row", "start", "n", "run").repartition(parts, "row", "start"), _windows, "w1 long, w2 long, row long, start int")
     first = windows.groupBy("w1", "w2").agg(F.min(F.struct("row", "start")).alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     again = windows.join(first.select("w1", "w2", "first"), ["w1", "w2"]).where("row <> first.row or start <> first.start")
-    dealt = again.select("row", F.col("start").cast("long").alias("a"), (F.col("start") + LENGTH).cast("long").alias("b"))
-    return whole.select("row", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).unionByName(sorted_).unionByName(dealt)
+    return again.select("row", F.col("start").cast("long").alias("a"), (F.col("start") + LENGTH).cast("long").alias("b"))
+
+
+def repeated_spans(rows: DataFrame) -> DataFrame:
+    """Spans by text, not merged, of bytes covered by strings that start earlier: row, _spans. rows: row (unique long), text.
+
+    Each phase ends in a checkpoint, after which the shuffles behind it are given up.
+    """
+    spark = rows.sparkSession
+    small_batches(spark)
+    met = cut(_met(rows))
+    release(spark)
+    firsts = cut(_firsts(met))
+    fetched = cut(_fetched(rows, firsts))
+    release(spark)
+    spans = _later_copies(met, firsts).unionByName(_sorted_repeats(fetched)).unionByName(_dealt_repeats(fetched))
+    found = cut(spans.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("_spans")))  # at most a text's own windows
+    release(spark)
+    return found
 
 
 def _with_rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -243,8 +277,7 @@ def _spans_by_text(df: DataFrame, key: str, text: str) -> DataFrame:
     """The table with its text compressed (column z) and the array of spans to remove (column _spans, null: none)."""
     rows = _with_rows(df, key, text)
     plain = rows.select("row", F.col(text).alias("text"))
-    marks = repeated_spans(plain).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))  # at most a text's own windows
-    return _packed(rows.withColumnRenamed(text, "text")).join(marks, "row", "left")
+    return _packed(rows.withColumnRenamed(text, "text")).join(repeated_spans(plain), "row", "left")
 
 
 def _cuts(spans: list | None) -> list[tuple[int, int]]:
