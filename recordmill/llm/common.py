@@ -1,9 +1,12 @@
-"""What the operators of this package share: reading columns in Arrow batches, reliable cuts of lineage, numbering."""
+"""What the operators of this package share: reading columns in Arrow batches, cuts of lineage that survive executors, numbering."""
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_OWN_FOLDER: str | None = None
 #: Rows of text handed to a Python worker at once: bounds a worker's memory whatever the partition's size.
 TEXT_BATCH_ROWS = 500
 
@@ -28,16 +32,35 @@ def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that setting is absent, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    global _OWN_FOLDER
+    if _OWN_FOLDER is None:
+        _OWN_FOLDER = tempfile.mkdtemp(prefix="checkpoint-")
+        atexit.register(shutil.rmtree, _OWN_FOLDER, ignore_errors=True)
+    return f"file://{_OWN_FOLDER}"
 
-    A folder of our own is set only where that setting is absent, as in tests.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write the rows as a table in the shared folder and read it. Unlike an executor's blocks the table
+    outlives executors, and it is compressed by column."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path, compression="zstd")
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote, when nothing reads them any more."""
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, df._cut_path
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -80,7 +103,7 @@ def extended(schema: T.StructType, added: str) -> T.StructType:
 def numbered(df: DataFrame, group: list[str], order: list, name: str, count: str | None = None) -> DataFrame:
     """Add the row's place (from 0) among the rows of its group in the given order, without gathering a group in one task.
 
-    The rows are sorted over the whole table into ranges, kept in a checkpoint, numbered inside each range, and shifted by
+    The rows are sorted over the whole table into ranges, kept in a table, numbered inside each range, and shifted by
     the sums of the ranges before. A window by group then only sees one row for each range that the group reaches.
     `order` must end in something that tells rows apart or be content to leave ties in any order.
     """

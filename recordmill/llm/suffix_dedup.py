@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import covered, cut, map_arrow, numbered, ragged, release, small_batches
+from .common import covered, cut, discard, map_arrow, numbered, ragged, release, small_batches
 from .suffixes import equal_runs, sorted_suffixes
 
 LENGTH = 100
 GRAM = 16
-BUCKET = 1500
+#: A bucket of more different runs than this (some 3 MB of bytes) is not sorted by one task.
+BUCKET = 20_000
 #: Bytes of runs sorted at once in a task.
 BLOCK = 1 << 20
 #: Windows hashed at once.
@@ -193,7 +194,9 @@ def _packed(rows: DataFrame) -> DataFrame:
 def _met(rows: DataFrame) -> DataFrame:
     """Runs whose anchor is met more than once."""
     table = _runs_table(rows)
-    often = table.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h")
+    # Written first, so that the join's two sides are plain shuffles and Spark can split an anchor with very many runs.
+    often = cut(table.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h"))
+    release(rows.sparkSession)
     return table.join(often, "h")
 
 
@@ -248,7 +251,7 @@ def _dealt_repeats(fetched: DataFrame) -> DataFrame:
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """Spans by text, not merged, of bytes covered by strings that start earlier: row, _spans. rows: row (unique long), text.
 
-    Each phase ends in a checkpoint, after which the shuffles behind it are given up.
+    Each phase ends in a written table, after which the shuffles behind it are given up.
     """
     spark = rows.sparkSession
     small_batches(spark)
@@ -259,6 +262,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     release(spark)
     spans = _later_copies(met, firsts).unionByName(_sorted_repeats(fetched)).unionByName(_dealt_repeats(fetched))
     found = cut(spans.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("_spans")))  # at most a text's own windows
+    discard(met, firsts, fetched)
     release(spark)
     return found
 
