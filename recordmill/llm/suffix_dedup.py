@@ -278,10 +278,10 @@ def _with_rows(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _spans_by_text(df: DataFrame, key: str, text: str) -> DataFrame:
-    """The table with its text compressed (column z) and the array of spans to remove (column _spans, null: none)."""
-    rows = _with_rows(df, key, text)
-    plain = rows.select("row", F.col(text).alias("text"))
-    return _packed(rows.withColumnRenamed(text, "text")).join(repeated_spans(plain), "row", "left")
+    """The table's columns as _in_0, _in_1, …, but the text, which is compressed (z); and the spans to remove (_spans, null: none)."""
+    place = {n: f"_in_{i}" for i, n in enumerate(df.columns)}
+    rows = _with_rows(df.select(*[F.col(n).alias(p) for n, p in place.items()]), place[key], place[text]).withColumnRenamed(place[text], "text")
+    return _packed(rows).join(repeated_spans(rows.select("row", "text")), "row", "left")
 
 
 def _cuts(spans: list | None) -> list[tuple[int, int]]:
@@ -292,7 +292,7 @@ def _cuts(spans: list | None) -> list[tuple[int, int]]:
 
 def digest(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of the input: key, n_bytes, n_removed, n_spans, kept_sha256. Null texts count as empty."""
-    marked = _spans_by_text(df.select(key, text), key, text).select(key, "z", "_spans")
+    marked = _spans_by_text(df.select(key, text), key, text).select(F.col("_in_0").alias(key), "z", "_spans")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         press = zstandard.ZstdDecompressor()
@@ -334,21 +334,20 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     Texts that are repeats from end to end leave nothing and go; null texts and texts that were empty before stay.
     """
+    names = df.columns
     marked = _spans_by_text(df, key, text)
-    names = [f.name for f in df.schema.fields]
-    marked = marked.select(*[F.col("z").alias(text) if n == text else F.col(n) for n in names], "_spans")
+    marked = marked.select(*[F.col("z" if n == text else f"_in_{i}") for i, n in enumerate(names)], "_spans")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         press = zstandard.ZstdDecompressor()
         kept, texts = [], []
-        for n, (z, spans) in enumerate(zip(batch.column(text).to_pylist(), batch.column("_spans").to_pylist(), strict=True)):
+        for n, (z, spans) in enumerate(zip(batch.column("z").to_pylist(), batch.column("_spans").to_pylist(), strict=True)):
             data = press.decompress(z) if z is not None else None
             left = whole_characters(data, _cuts(spans)) if data else data
             if left or not data:
                 kept.append(n)
                 texts.append(None if left is None else left.decode())
         picked = batch.take(pa.array(kept, pa.int64()))
-        columns = [pa.array(texts, pa.string()) if n == text else picked.column(n) for n in names]
-        return pa.RecordBatch.from_arrays(columns, names=names)
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text else picked.column(i) for i, n in enumerate(names)], names=names)
 
     return map_arrow(marked, run, df.schema)
