@@ -50,11 +50,10 @@ def text_list(c) -> F.Column:
 
 
 @query("""select p_partkey, p_name, p_brand, p_size from part
-where lower(p_name) like '%ring%' and p_size between 5 and 30 and lower(p_brand) in ('brand#2', 'brand#17', 'brand#4', 'brand#12') order by p_partkey offset 2 limit 20""")
+where lower(p_name) like '%ring%' and p_size between 5 and 45 and lower(p_type) = 'small' order by p_partkey offset 1 limit 20""")
 def op_query_specs(t):
-    brands = F.lower("p_brand").isin("brand#2", "brand#17", "brand#4", "brand#12")
-    rows = t.part.where(P.every(P.contains_text(F.col("p_name"), "RING"), P.in_range(F.col("p_size"), 5, 30), brands)).select("p_partkey", "p_name", "p_brand", "p_size")
-    return records.page(rows, [F.col("p_partkey")], 20, 2)
+    conditions = P.every(P.contains_text(F.col("p_name"), "RING"), P.in_range(F.col("p_size"), 5, 45), P.equals_text(F.col("p_type"), "Small"))
+    return records.page(t.part.where(conditions).select("p_partkey", "p_name", "p_brand", "p_size"), [F.col("p_partkey")], 20, 1)
 
 
 @query("select o_orderkey, o_custkey, o_orderstatus from orders where o_orderkey = 7")
