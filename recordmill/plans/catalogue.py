@@ -240,20 +240,20 @@ def op_disambiguated_uids(t):
     return uids.groupBy("p_name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("uid").alias("n_uids"))
 
 
-@query("""with a as (select o_orderkey, o_orderstatus, case when o_orderkey % 10 = 0 then o_totalprice + 1 else o_totalprice end as p from orders where o_orderkey % 7 <> 0),
-b as (select o_orderkey, o_orderstatus, o_totalprice as p from orders where o_orderkey % 5 <> 0)
+@query("""with a as (select o_orderkey, o_orderstatus, case when o_orderpriority = '1-URGENT' then o_totalprice + 1 else o_totalprice end as p from orders where o_orderdate >= timestamp '1996-01-01'),
+b as (select o_orderkey, o_orderstatus, o_totalprice as p from orders where o_orderdate < timestamp '2000-01-01')
 select case when a.o_orderkey is null then 'kept' when b.o_orderkey is null then 'created' when a.p = b.p and a.o_orderstatus = b.o_orderstatus then 'exists' else 'updated' end as status, count(*) as n
 from a full outer join b on a.o_orderkey = b.o_orderkey group by 1""")
 def op_upsert_status(t):
-    incoming = t.orders.where("o_orderkey % 7 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 10 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
-    stored = t.orders.where("o_orderkey % 5 <> 0")
+    incoming = t.orders.where("o_orderdate >= timestamp_ntz'1996-01-01'").withColumn("o_totalprice", F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    stored = t.orders.where("o_orderdate < timestamp_ntz'2000-01-01'")
     return records.upsert_status(incoming, stored, "o_orderkey", ["o_orderstatus", "o_totalprice"]).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select o_orderkey, case when o_orderkey % 7 <> 0 then o_totalprice + 1 else o_totalprice end as o_totalprice from orders")
+@query("select o_orderkey, case when o_orderstatus <> 'P' then o_totalprice + 1 else o_totalprice end as o_totalprice from orders")
 def op_upserted(t):
-    rows = t.orders.select("o_orderkey", "o_totalprice")
-    return records.upserted(rows.where("o_orderkey % 7 <> 0").withColumn("o_totalprice", F.col("o_totalprice") + 1), rows, "o_orderkey")
+    changed = t.orders.where("o_orderstatus <> 'P'").select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"))
+    return records.upserted(changed, t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey")
 
 
 @query("select event_id, md5(props) as payload from events where not (event_type = 'click' and value < 20)")
@@ -262,17 +262,17 @@ def op_journal_skip(t):
     return records.not_done(t.events.select("event_id", F.md5("props").alias("payload")), done, ["event_id", "payload"])
 
 
-@query("""with l as (select p_partkey, md5(p_name) as c from part where p_partkey % 11 <> 0), r as (select p_partkey, md5(case when p_partkey % 6 = 0 then 'x' else p_name end) as c from part where p_partkey % 4 <> 0)
+@query("""with l as (select p_partkey, md5(p_name) as c from part where p_size > 5), r as (select p_partkey, md5(case when p_type = 'PROMO' then 'x' else p_name end) as c from part where p_size < 40)
 select coalesce(l.p_partkey, r.p_partkey) as p_partkey, case when l.p_partkey is null then 'delete' when l.c = r.c then 'keep' else 'upload' end as action from l full outer join r on l.p_partkey = r.p_partkey""")
 def op_sync_diff(t):
-    local = t.part.where("p_partkey % 11 <> 0").select("p_partkey", F.md5("p_name").alias("c"))
-    remote = t.part.where("p_partkey % 4 <> 0").select("p_partkey", F.md5(F.when(F.col("p_partkey") % 6 == 0, "x").otherwise(F.col("p_name"))).alias("c"))
+    local = t.part.where("p_size > 5").select("p_partkey", F.md5("p_name").alias("c"))
+    remote = t.part.where("p_size < 40").select("p_partkey", F.md5(F.when(F.col("p_type") == "PROMO", "x").otherwise(F.col("p_name"))).alias("c"))
     return records.sync_plan(local, remote, "p_partkey", "c")
 
 
-@query("select p_partkey, coalesce(case when p_partkey % 3 = 0 and p_partkey % 2 = 0 then 'manual' end, p_type) as p_type from part")
+@query("select p_partkey, coalesce(case when p_size < 15 and p_brand <> 'Brand#2' then 'manual' end, p_type) as p_type from part")
 def op_override(t):
-    manual = t.part.where("p_partkey % 3 = 0").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, "manual").otherwise("?").alias("p_type"))
+    manual = t.part.where("p_size < 15").select("p_partkey", F.when(F.col("p_brand") != "Brand#2", "manual").otherwise("?").alias("p_type"))
     return records.overridden(t.part, manual, "p_partkey", "p_type")
 
 
@@ -285,26 +285,26 @@ def op_ambiguous_key(t):
 # References and joins
 
 
-@query("""select o_orderkey as id, 'customer_id' as path, cast(o_custkey as varchar) as target, 'reference.missing' as code from orders where o_custkey not in (select c_custkey from customer where c_acctbal > 0 and c_custkey % 3 <> 0)""")
+@query("""select o_orderkey as id, 'customer_id' as path, cast(o_custkey as varchar) as target, 'reference.missing' as code from orders where o_custkey not in (select c_custkey from customer where c_acctbal > 2000)""")
 def op_refs_missing(t):
     found = references.links(t.orders, "o_orderkey", {"customer_id": (F.col("o_custkey"), "customer")})
-    return references.missing(found, t.customer.where("c_acctbal > 0 and c_custkey % 3 <> 0").select(F.col("c_custkey").cast("string").alias("target")))
+    return references.missing(found, t.customer.where("c_acctbal > 2000").select(F.col("c_custkey").cast("string").alias("target")))
 
 
 @query("""select l_orderkey as id, 'part_id' as path, cast(l_partkey as varchar) as target, 'part' as expected, 'supplier' as actual, 'reference.type_mismatch' as code
-from lineitem where l_partkey in (select s_suppkey from supplier) and l_partkey % 2 = 0""")
+from lineitem where l_partkey in (select s_suppkey from supplier join part on s_suppkey = p_partkey where p_size > 10)""")
 def op_refs_type(t):
-    store = t.part.select(F.col("p_partkey").alias("k")).join(t.supplier.select(F.col("s_suppkey").alias("s")), F.col("k") == F.col("s"), "left")
-    store = store.select(F.col("k").cast("string").alias("target"), F.when(F.col("s").isNotNull() & (F.col("k") % 2 == 0), "supplier").otherwise("part").alias("kind"))
+    store = t.part.select(F.col("p_partkey").alias("k"), "p_size").join(t.supplier.select(F.col("s_suppkey").alias("s")), F.col("k") == F.col("s"), "left")
+    store = store.select(F.col("k").cast("string").alias("target"), F.when(F.col("s").isNotNull() & (F.col("p_size") > 10), "supplier").otherwise("part").alias("kind"))
     return references.mistyped(references.links(t.lineitem, "l_orderkey", {"part_id": (F.col("l_partkey"), "part")}), store)
 
 
 @query("""with g as (select l_orderkey, l_partkey, row_number() over (partition by l_orderkey order by l_partkey) - 1 as i from (select distinct l_orderkey, l_partkey from lineitem))
-select l_orderkey as id, 'parts[' || i || '].id' as path, cast(l_partkey as varchar) as target, 'reference.missing' as code from g where l_partkey % 9 = 0""")
+select l_orderkey as id, 'parts[' || i || '].id' as path, cast(l_partkey as varchar) as target, 'reference.missing' as code from g where l_partkey in (select p_partkey from part where p_size <= 5)""")
 def op_refs_list(t):
     lists = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("parts"))
     found = references.links(lists, "l_orderkey", {}, {"parts": (F.col("parts"), "part")})
-    return references.missing(found, t.part.where("p_partkey % 9 <> 0").select(F.col("p_partkey").cast("string").alias("target")))
+    return references.missing(found, t.part.where("p_size > 5").select(F.col("p_partkey").cast("string").alias("target")))
 
 
 @query("""with f as (select l_orderkey as id, unnest([{'path': 'part_id', 'target': l_partkey}, {'path': 'supplier_id', 'target': l_suppkey + 5}]) as l from lineitem)
@@ -359,9 +359,9 @@ def op_chain_join(t):
 
 
 @query("""select c_custkey, coalesce(string_agg(cast(o_orderkey as varchar), ',' order by o_orderkey), '') as orders, count(o_orderkey) as n
-from customer left join (select * from orders where o_totalprice > 300000) on c_custkey = o_custkey group by c_custkey""")
+from customer left join orders on c_custkey = o_custkey group by c_custkey""")
 def op_nested_graph(t):
-    tree = graph.nested(t.customer, t.orders.where("o_totalprice > 300000"), "c_custkey", "o_custkey", ["o_orderkey", "o_totalprice"], "orders")
+    tree = graph.nested(t.customer, t.orders, "c_custkey", "o_custkey", ["o_orderkey", "o_totalprice"], "orders")
     return tree.select("c_custkey", text_list(F.transform("orders", lambda o: o["o_orderkey"])).alias("orders"), F.size("orders").cast("long").alias("n"))
 
 
@@ -394,9 +394,9 @@ def op_index_stats(t):
     return lists.select("o_custkey", rollups.counted(F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey")), F.col("items")).alias("n"))
 
 
-@query("""select o_orderpriority, string_agg(cast(o_orderkey as varchar), ',' order by o_orderkey) as claims, count(*) as n_claims from orders where o_totalprice > 450000 group by o_orderpriority""")
+@query("""select o_orderpriority, string_agg(cast(o_orderkey as varchar), ',' order by o_orderkey) as claims, count(*) as n_claims from orders group by o_orderpriority""")
 def op_collate(t):
-    claims = t.orders.where("o_totalprice > 450000").select("o_orderpriority", "o_orderkey", "o_totalprice")
+    claims = t.orders.select("o_orderpriority", "o_orderkey", "o_totalprice")
     out = rollups.collate(claims, "o_orderpriority", [F.col("o_orderkey")])
     return out.select("o_orderpriority", text_list(F.transform("claims", lambda c: c["o_orderkey"])).alias("claims"), "n_claims")
 
@@ -410,11 +410,11 @@ def op_citation_override(t):
 _TIERS = "(values ('basic', ['AUTOMOBILE', 'BUILDING']), ('full', ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY']))"
 
 
-@query(f"""with have as (select c_nationkey, list(distinct c_mktsegment) as h from customer where c_custkey % 3 = 0 group by 1), tiers(tier, req) as {_TIERS}
+@query(f"""with have as (select c_nationkey, list(distinct c_mktsegment) as h from customer where c_acctbal > 9000 group by 1), tiers(tier, req) as {_TIERS}
 select c_nationkey, tier, array_to_string(list_filter(req, lambda x: not list_contains(h, x)), ',') as missing, len(list_filter(req, lambda x: not list_contains(h, x))) = 0 as satisfied from have, tiers""")
 def op_completeness(t):
     tiers = {"basic": ["AUTOMOBILE", "BUILDING"], "full": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]}
-    out = rollups.completeness(t.customer.where("c_custkey % 3 = 0"), "c_nationkey", "c_mktsegment", tiers)
+    out = rollups.completeness(t.customer.where("c_acctbal > 9000"), "c_nationkey", "c_mktsegment", tiers)
     return out.select("c_nationkey", "tier", text_list(F.col("missing")).alias("missing"), "satisfied")
 
 
@@ -694,7 +694,7 @@ def op_claim_checks(t):
     return rows.select("id", rules.claim_problem(F.col("q"), F.col("x"), F.col("y"), F.col("e"), F.col("k"), ["measured", "fitted"]).alias("problem"))
 
 
-@query("select doc_id, sha256(text) as checksum, true as ok, false as short_ok from documents where doc_id < 1000000")
+@query("select doc_id, sha256(text) as checksum, true as ok, false as short_ok from documents")
 def op_checksum_shape(t):
     digest = F.sha2("text", 256)
     return t.documents.select("doc_id", digest.alias("checksum"), scalars.checksum_ok(F.lit("sha-256"), digest).alias("ok"), scalars.checksum_ok(F.lit("md5"), digest).alias("short_ok"))
@@ -708,11 +708,11 @@ def op_triples(t):
     return graph.triples(t.nation, F.concat(F.lit("nation/"), "n_nationkey"), "Nation", {"name": F.col("n_name")}, {"inRegion": F.concat(F.lit("region/"), "n_regionkey")})
 
 
-@query("""select 'r/' || r_regionkey as s, p, case when p = 'name' and r_regionkey % 2 = 0 then 'renamed' when p = 'name' then r_name else 'Region' end as o, p <> 'name' as is_iri from region, (values ('rdf:type'), ('name')) v(p)""")
+@query("""select 'r/' || r_regionkey as s, p, case when p = 'name' and r_regionkey < 2 then 'renamed' when p = 'name' then r_name else 'Region' end as o, p <> 'name' as is_iri from region, (values ('rdf:type'), ('name')) v(p)""")
 def op_graph_merge(t):
     subject = F.concat(F.lit("r/"), "r_regionkey")
     old = graph.triples(t.region, subject, "Region", {"name": F.col("r_name")})
-    new = graph.triples(t.region.where("r_regionkey % 2 = 0"), subject, "Region", {"name": F.lit("renamed")})
+    new = graph.triples(t.region.where("r_regionkey < 2"), subject, "Region", {"name": F.lit("renamed")})
     return graph.merged(old, new)
 
 
@@ -761,10 +761,10 @@ def op_import_rows(t):
     return rollups.kind_index({k: v.select("id").distinct() for k, v in made.items()}).where("kind <> 'total'")
 
 
-@query("select p_partkey as source, 'cycling' as flag, 'cycling' as kind from part where p_size > 20 and p_partkey % 2 = 0 union all select p_partkey, 'impedance', 'eis' from part where p_size <= 30 and p_partkey % 2 = 0")
+@query("select p_partkey as source, 'cycling' as flag, 'cycling' as kind from part where p_size > 20 and p_retailprice > 905 union all select p_partkey, 'impedance', 'eis' from part where p_size <= 30 and p_retailprice > 905")
 def op_import_flags(t):
     flags = F.create_map(F.lit("cycling"), F.col("p_size") > 20, F.lit("impedance"), F.col("p_size") <= 30)
-    return importers.from_flags(t.part, F.col("p_partkey"), flags, {"cycling": "cycling", "impedance": "eis"}, F.col("p_partkey") % 2 == 0).select("source", "flag", "kind")
+    return importers.from_flags(t.part, F.col("p_partkey"), flags, {"cycling": "cycling", "impedance": "eis"}, F.col("p_retailprice") > 905).select("source", "flag", "kind")
 
 
 @query("""select p_partkey as source, 'particle_radius' as parameter, p_size * 1e-6 as value, true as known from part union all select p_partkey, 'Negative.other', p_retailprice, false from part""")
