@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     now = cut(links.where("u is not null and v is not null and u <> v").select("u", "v").distinct())
     mark = None
     for _ in range(rounds):
-        now = cut(_small_star(_large_star(now)))
+        before, now = now, cut(_small_star(_large_star(now)))
+        discard(before)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -131,9 +131,12 @@ def top_k(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "e
                     out += [(int(query_id), int(ids[p]), int(s)) for s, p in lists.best(query, k, own, ids)]
             yield pd.DataFrame(out, columns=["query_id", key, "score"]).astype("int64")
 
-    small = df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    if int(small) > 16 or int(small) <= 0:
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # rows are whole blocks
-    found = work.mapInPandas(run, f"query_id long, {key} long, score long")
+    key_of, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
+    usual = spark.conf.get(key_of)
+    spark.conf.set(key_of, "8")  # rows are whole blocks
+    try:
+        found = cut(work.mapInPandas(run, f"query_id long, {key} long, score long"))
+    finally:
+        spark.conf.set(key_of, usual)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), key, "score")
