@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy, identity, scalars
 from ..functions import predicates as P
 from ..functions import steps as S
-from ..operators import graph, importers, records, references, rollups, rules, series
+from ..operators import exports, graph, importers, records, references, rollups, rules, schema, series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -700,9 +700,73 @@ def op_checksum_shape(t):
     return t.documents.select("doc_id", digest.alias("checksum"), scalars.checksum_ok(F.lit("sha-256"), digest).alias("ok"), scalars.checksum_ok(F.lit("md5"), digest).alias("short_ok"))
 
 
+@query("""select c_custkey as id, 'schema.enum' as code, 'c_mktsegment' as path from customer where c_mktsegment not in ('AUTOMOBILE', 'BUILDING')
+union all select c_custkey, 'schema.maximum', 'c_acctbal' from customer where c_acctbal > 9500 union all select c_custkey, 'schema.pattern', 'c_name' from customer where not regexp_matches(c_name, '[0-4]$')
+union all select c_custkey, 'schema.required', 'email' from customer""")
+def op_schema_rules(t):
+    wanted = {
+        "required": ["c_name", "email"],
+        "properties": {"c_mktsegment": {"enum": ["AUTOMOBILE", "BUILDING"]}, "c_acctbal": {"type": "number", "minimum": -1000, "maximum": 9500}, "c_name": {"pattern": "[0-4]$", "maxLength": 40}, "c_custkey": {"type": "integer"}},
+    }
+    columns = {c: F.col(c) for c in t.customer.columns}
+    return rules.issues(t.customer, "c_custkey", schema.rules_of(wanted, columns)).select("id", "code", "path")
+
+
+@query("""select p_partkey as id, 'size_code_prefix_mismatch' as code from part where p_size > 20 and p_type = 'SMALL' union all select p_partkey, 'size_code_invalid' from part where p_type = 'LARGE'""")
+def op_size_codes(t):
+    code = F.when(F.col("p_type") == "LARGE", "??").when(F.col("p_size") > 20, F.concat(F.lit("XX"), "p_size")).otherwise(F.concat(F.lit("CR"), "p_size"))
+    form = F.when(F.col("p_type") == "SMALL", "coin").otherwise("pouch")
+    return rules.issues(t.part, "p_partkey", schema.size_code_rules(code, form)).select("id", "code")
+
+
+@query("""select l_orderkey as id, l_linenumber, 'temporal_order_invalid' as code from lineitem join orders on l_orderkey = o_orderkey where l_shipdate < o_orderdate""")
+def op_time_order(t):
+    both = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("key", F.struct("l_orderkey", "l_linenumber"))
+    found = rules.issues(both, "key", [schema.time_order_rule("l_shipdate", F.col("o_orderdate"), F.col("l_shipdate"))])
+    return found.select(F.col("id.l_orderkey").alias("id"), F.col("id.l_linenumber").alias("l_linenumber"), "code")
+
+
+@query("""select p_partkey as id, 'electrode_polarity_expected' as code from part where p_size > 25 and p_type <> 'PROMO' union all select p_partkey, 'electrode_role_expected' from part where p_size <= 25 and p_type = 'PROMO'""")
+def op_electrode_roles(t):
+    role = F.when(F.col("p_size") > 25, "positive").otherwise("working")
+    polarity = F.when((F.col("p_type") == "PROMO") & (F.col("p_size") > 25), "positive").when(F.col("p_type") != "PROMO", "negative")
+    return rules.issues(t.part, "p_partkey", schema.electrode_rules(polarity, role, F.lit(False))).select("id", "code")
+
+
 # Graphs and documents
 
 
+@query("""select * from (values (0, 'r6 lr6 fr6 aa doublea'), (1, '18650'), (2, 'x1')) v(id, codes)""")
+def op_size_aliases(t):
+    return t.values([(0, "AA"), (1, "18650"), (2, "X-1")], "id int, code string").select("id", exports.size_aliases(F.col("code")).alias("codes"))
+
+
+@query("""select s_suppkey, coalesce(case when s_acctbal > 5000 then 'own' end, 'cc-by-4.0') as license, 'lab' as contributor from supplier""")
+def op_stamped(t):
+    rows = t.supplier.select("s_suppkey", F.when(F.col("s_acctbal") > 5000, "own").alias("license"))
+    return exports.stamped(rows, {"license": "cc-by-4.0", "contributor": "lab"})
+
+
+@query("""select 'page/' || page_id as id, '{"@id":"page/' || page_id || '","@type":"dcat:Dataset","dct:title":"p","dct:license":"mit","dcat:distribution":[{"@type":"dcat:Distribution","dcat:downloadURL":"' || url || '","dcat:mediaType":"text/html"}]}' as document from pages""")
+def op_dcat(t):
+    return exports.dcat(t.pages, F.concat(F.lit("page/"), "page_id"), F.lit("p"), F.lit("mit"), F.col("url"), F.lit("text/html"))
+
+
+@query("""select n_regionkey as id, '{"@context":"https://w3id.org/ro/crate/1.1/context","@graph":[' || string_agg('{"@id":"' || n_name || '","@type":"File","contentSize":' || n_nationkey || ',"sha256":"' || sha256(n_name) || '"}', ',' order by n_name) || ']}' as document from nation group by n_regionkey""")
+def op_ro_crate(t):
+    return exports.ro_crate(t.nation, "n_regionkey", F.col("n_name"), F.col("n_nationkey"), F.sha2("n_name", 256))
+
+
+@query("""select s_suppkey as source_local_id, 'supplier' as resource_type, '{"name":"' || s_name || '"}' as payload, sha256('{"name":"' || s_name || '"}') as payload_hash, 'v1' as workflow from supplier""")
+def op_envelope(t):
+    return exports.envelope(t.supplier, F.col("s_suppkey"), "supplier", F.struct(F.col("s_name").alias("name")), "v1")
+
+
+@query("""select p_partkey, p_name from part where contains(lower(p_name), 'gear') and p_type = 'PROMO'""")
+def op_search(t):
+    return exports.search(t.part, "p_name", "p_type", "GEAR", "PROMO").select("p_partkey", "p_name")
+
+
 @query("""select 'nation/' || n_nationkey as s, t.p as p, t.o as o, t.i as is_iri from nation, lateral (select unnest([{'p': 'rdf:type', 'o': 'Nation', 'i': true}, {'p': 'name', 'o': n_name, 'i': false}, {'p': 'inRegion', 'o': 'region/' || n_regionkey, 'i': true}]) as t)""")
 def op_triples(t):
     return graph.triples(t.nation, F.concat(F.lit("nation/"), "n_nationkey"), "Nation", {"name": F.col("n_name")}, {"inRegion": F.concat(F.lit("region/"), "n_regionkey")})
