@@ -86,7 +86,8 @@ def fit(df: DataFrame, labels: DataFrame, trainable: Column, key: str = "doc_id"
     sample = known.where(F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1_000_000)) < share).select(F.col(key).alias("_key"), "_y")
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.col(text).alias("text"))
     rows = rows.join(F.broadcast(sample), F.col("_id") == F.col("_key"))  # at most about `documents` rows of two numbers
-    rows = rows.select(F.xxhash64("_key", F.lit(5)).alias("order"), F.col("_y").cast("int").alias("y"), "text").coalesce(1).sortWithinPartitions("order", "text")
+    # A shuffle of the sample into one task; coalescing would pull the scan into that task too.
+    rows = rows.select(F.xxhash64("_key", F.lit(5)).alias("order"), F.col("_y").cast("int").alias("y"), "text").repartition(1).sortWithinPartitions("order", "text")
 
     def run(batches):
         features, ys = [], []
