@@ -136,6 +136,36 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_tr
 from base left join sums using (rid)
 """
 
+#: Every 100-byte window by its hash; the windows that come again cover spans, and what lies between the spans is kept.
+OP3_SQL = """
+with d as (
+  select row_number() over (order by doc_id nulls last, text) as rid, doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents
+), starts as (
+  select rid, unnest(range(0, n - 99, 128)) as base from d where n >= 100
+), chunks as materialized (
+  select rid, base, least(128, n - 99 - base) as m, substr(h, cast(2 * base + 1 as bigint), 454) as piece from starts join d using (rid)
+), w as (
+  select rid, base, piece, unnest(range(0, m)) as o from chunks
+), k as (
+  select rid, base + o as i, md5_number(substr(piece, cast(2 * o + 1 as bigint), 200)) as key from w
+), f as (
+  select key, min(rid * 4294967296 + i) as first from k group by key having count(*) > 1
+), m as (
+  select rid, i, case when i > lag(i) over (partition by rid order by i) + 100 then 1 else 0 end as fresh from k join f using (key) where rid * 4294967296 + i <> first
+), g as (
+  select rid, i, sum(fresh) over (partition by rid order by i) as span from m
+), s as (
+  select rid, min(i) as a, max(i) + 100 as b from g group by rid, span
+), p as (
+  select rid, a, b, coalesce(lag(b) over (partition by rid order by a), 0) as before, max(b) over (partition by rid) as last from s
+), kept as (
+  select rid, sum(b - a) as n_removed, count(*) as n_spans, string_agg(substr(h, cast(2 * before + 1 as bigint), cast(2 * (a - before) as bigint)), '' order by a) || any_value(substr(h, cast(2 * last + 1 as bigint))) as left_over
+  from p join d using (rid) group by rid
+)
+select doc_id, cast(n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(left_over, h))) as kept_sha256
+from d left join kept using (rid)
+"""
+
 OP9_SQL = """
 with rows as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
@@ -151,4 +181,4 @@ select query_id, rank, vec_id, score from ranked where rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_perspectives": OP1_SQL, "op2_suffix_array_repetition": OP2_SQL, "op9_exact_top_k": OP9_SQL}
+    return {"op1_chat_perspectives": OP1_SQL, "op2_suffix_array_repetition": OP2_SQL, "op3_suffix_array_dedup": OP3_SQL, "op9_exact_top_k": OP9_SQL}

@@ -123,7 +123,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of each group of near-duplicates stays, the one with the smallest key (any one among rows that share it;
     among null keys if no other). The columns are the input's."""
-    kept = near_duplicates(df, key, text, radius)
+    kept = cut(near_duplicates(df, key, text, radius))
     wanted = kept.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("_kept")).agg(F.max("fingerprint").alias("_fp"))
     once = df.join(wanted, F.col(key).eqNullSafe(F.col("_kept"))).drop("_kept")
     repeated = kept.groupBy(key).count().where("count > 1").select(F.col(key).alias("_again"))
