@@ -28,7 +28,7 @@ K = 5
 BLOCK, QUERIES = 8192, 512
 #: Share of a list read before bounds are looked at, read further each time, and at which reading gives way to resolving.
 #: With many components the bounds close late; vectors that may still qualify then have their scores resolved.
-FIRST, STEP, STOP = 0.4, 0.15, 0.6
+FIRST, STEP, STOP = 0.6, 0.15, 0.75
 #: Scores resolved beforehand to set a first bar.
 PILOT = 1024
 
@@ -44,7 +44,7 @@ class Lists:
         self.values = np.ascontiguousarray(np.take_along_axis(vectors, order, 0).T).astype(np.float64)
         place = np.empty(order.shape, np.int32)
         np.put_along_axis(place, order, np.broadcast_to(np.arange(len(vectors), dtype=np.int32)[:, None], order.shape), 0)
-        self.place = place
+        self.place = np.ascontiguousarray(place.T)  # by component: where each vector stands in its list
 
     def best(self, query: np.ndarray, k: int, skip: np.ndarray, ids: np.ndarray, read: dict | None = None) -> list[tuple[int, int]]:
         """(score, position) of the k best vectors but those in `skip`, ties to the smaller id."""
@@ -52,7 +52,6 @@ class Lists:
         lists = np.flatnonzero(query)
         q = query[lists].astype(np.float64)
         up = q > 0
-        pos, neg = lists[up], lists[~up]
         allowed = np.ones(n, bool)
         allowed[skip] = False
         alive = np.flatnonzero(allowed)
@@ -63,24 +62,27 @@ class Lists:
         depth = 0
         while len(alive) > max(k, n // 2) and depth < STOP * n and len(lists):
             until = min(n, max(depth + 1, int(n * (FIRST if not depth else depth / n + STEP))))
-            seen = np.concatenate([self.falling[pos, depth:until], self.falling[neg, n - until : n - depth]])
-            entries = np.concatenate([self.values[pos, depth:until], self.values[neg, n - until : n - depth]])
-            entries *= np.concatenate([q[up], q[~up]])[:, None]
-            part += np.bincount(seen.ravel(), entries.ravel(), n)
+            for d, w in zip(lists.tolist(), q.tolist(), strict=True):  # a list holds each vector once
+                entries = slice(depth, until) if w > 0 else slice(n - until, n - depth)
+                part[self.falling[d, entries]] += w * self.values[d, entries]
             depth = until
             if depth >= n:
                 break
             # Unread entries are at most the frontier's and at least the list's last.
             frontier = np.where(up, self.values[lists, depth - 1], self.values[lists, n - depth]) * q
             worst = np.where(up, self.values[lists, -1], self.values[lists, 0]) * q
-            at = self.place if len(alive) == n - len(skip) else self.place[alive]
-            at = at if len(lists) == at.shape[1] else at[:, lists]
-            rest = np.where(up, at >= depth, at < n - depth).astype(np.float64) @ np.column_stack([worst, frontier])
-            rest = rest[alive] if len(rest) == n else rest
-            lower, upper = part[alive] + rest[:, 0], part[alive] + rest[:, 1]
+            unread = np.empty((len(lists), n), np.float32)
+            for i, (d, w) in enumerate(zip(lists.tolist(), q.tolist(), strict=True)):
+                if w > 0:
+                    np.greater_equal(self.place[d], depth, out=unread[i], casting="unsafe")
+                else:
+                    np.less(self.place[d], n - depth, out=unread[i], casting="unsafe")
+            rest = (np.stack([worst, frontier]).astype(np.float32) @ unread)[:, alive].astype(np.float64)
+            slack = 1e-4 * (np.abs(worst).sum() + np.abs(frontier).sum()) + 0.5  # of single precision; scores are integers
+            lower, upper = part[alive] + rest[0] - slack, part[alive] + rest[1] + slack
             if len(alive) >= k:
                 bar = max(bar, float(np.partition(lower, len(lower) - k)[len(lower) - k]))
-            alive = alive[upper >= bar - 0.5]  # scores are integers; whoever is outside cannot qualify
+            alive = alive[upper >= bar]  # whoever is outside cannot qualify
         if read is not None:
             read["depth"], read["left"] = read.get("depth", 0) + depth / n, read.get("left", 0) + len(alive) / n
         scores = self.scores(alive, query)
