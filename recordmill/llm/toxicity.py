@@ -20,7 +20,8 @@ from .common import extended, map_arrow, texts_of, with_columns
 BITS = 20
 #: Bound of the training sample: about so many labelled documents, chosen by a hash of their id.
 TRAIN_DOCUMENTS = 6000
-EPOCHS = 5
+#: Passes over the sample: enough for so many updates in all, within bounds.
+UPDATES, FEWEST, MOST = 30_000, 5, 20
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.5
 #: Lengths in bytes of the stems of longer words.
 STEMS = (4, 5)
@@ -54,7 +55,11 @@ class Model:
         return out
 
 
-def ftrl(features: list[np.ndarray], labels: list[int], epochs: int = EPOCHS) -> Model:
+def passes(documents: int) -> int:
+    return min(MOST, max(FEWEST, UPDATES // max(1, documents)))
+
+
+def ftrl(features: list[np.ndarray], labels: list[int], epochs: int | None = None) -> Model:
     """FTRL-proximal over the texts in the order given; features of a text are distinct, with value one. The last is the bias."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = np.array([1 << BITS])
@@ -64,7 +69,7 @@ def ftrl(features: list[np.ndarray], labels: list[int], epochs: int = EPOCHS) ->
         free = np.where(i == bias, 0.0, L1)
         return np.where(np.abs(zi) <= free, 0.0, -(zi - np.sign(zi) * free) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
-    for _ in range(epochs):
+    for _ in range(passes(len(labels)) if epochs is None else epochs):
         for x, y in zip(features, labels, strict=True):
             i = np.concatenate([x, bias])
             w = weights(i)
