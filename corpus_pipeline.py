@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordmill.llm import packing, quality, simhash, suffix_dedup, toxicity
+from recordmill.llm import packing, quality, similar, suffix_dedup, toxicity
 from recordmill.llm.common import cut, table
 from recordmill.llm.registry import site_path
 
@@ -29,8 +29,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.drop_near_duplicates(docs.select(*COLUMNS))
+    """One document of each group stays that links of similarity 0.8 or more on five-word shingles connect."""
+    return similar.drop_similar(docs.select(*COLUMNS))
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality classifier", quality_stage),
     ("toxicity", toxicity_stage),
-    ("SimHash near-dedup", near_duplicate_stage),
+    ("near-dedup by shingles", near_duplicate_stage),
     ("suffix-array dedup", passage_stage),
     ("best-fit packing", packing_stage),
 ]
