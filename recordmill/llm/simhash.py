@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, extended, map_arrow, numbered, texts_of, with_columns
 from .components import components
+from .similar import survivors
 
 RADIUS = 2
 WORDS = 3
@@ -112,21 +113,22 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     their key never names a component unless all keys of the component are null. Repeated keys stay as separate rows.
     """
     marked = cut(fingerprints(df.select(key, text), text).drop(text))
-    distinct = marked.groupBy("fp").agg(F.min(key).alias("least"))
-    found = components(links(distinct.select("fp"), radius))
-    nodes = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    nodes = roots(marked.groupBy("fp").agg(F.min(key).alias("least")), radius)
     named = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     of = nodes.join(named, "root").select("fp", "component_id")
     return marked.join(of, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def roots(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows (one for each fingerprint fp) with the least fingerprint that links reach (root)."""
+    found = components(links(distinct.select("fp"), radius))
+    return distinct.join(found, F.col("fp") == F.col("node"), "left").select(*distinct.columns, F.coalesce("component", "fp").alias("root"))
+
+
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of each group of near-duplicates stays, the one with the smallest key (any one among rows that share it;
-    among null keys if no other). The columns are the input's."""
-    kept = cut(near_duplicates(df, key, text, radius))
-    wanted = kept.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("_kept")).agg(F.max("fingerprint").alias("_fp"))
-    once = df.join(wanted, F.col(key).eqNullSafe(F.col("_kept"))).drop("_kept")
-    repeated = kept.groupBy(key).count().where("count > 1").select(F.col(key).alias("_again"))
-    single = once.join(repeated, F.col(key).eqNullSafe(F.col("_again")), "left_anti")
-    several = once.join(repeated, F.col(key).eqNullSafe(F.col("_again")), "left_semi")
-    return single.select(*df.columns).unionByName(several.dropDuplicates([key]).select(*df.columns))
+    """One row of each group of near-duplicates stays, the one with the smallest key (null keys last, any one among rows of an
+    equal key). Rows of other groups stay whatever their keys. The columns are the input's."""
+    marked = cut(fingerprints(df.withColumn("_row", F.monotonically_increasing_id()), text, "_fp"))
+    rows = marked.select("_row", key, F.col("_fp").alias("fp"))
+    kept = cut(survivors(rows.join(roots(rows.select("fp").distinct(), radius), "fp"), "root", key, "_row"))
+    return marked.join(kept, "_row", "left_semi").select(*df.columns)

@@ -1,0 +1,11 @@
+from recordmill.llm import simhash
+
+
+def test_one_row_of_each_group_whatever_the_keys(spark):
+    x, y, p, q, r, s = (" ".join(f"{c}{i}" for i in range(400)) for c in "xypqrs")
+    x2 = x + " end"
+    assert 0 < (simhash.fingerprint(x) ^ simhash.fingerprint(x2)).bit_count() <= 2 or simhash.fingerprint(x) == simhash.fingerprint(x2)
+    rows = [(3, x), (5, x2), (5, y), (7, p), (7, q), (None, r), (None, s), (None, s)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    order = lambda t: (t[0] is None, t[0] or 0, t[1])
+    assert sorted((tuple(t) for t in kept.collect()), key=order) == [(3, x), (5, y), (7, p), (7, q), (None, r), (None, s)]
