@@ -41,10 +41,27 @@ def _encoder(path: str):
     return core, set(special)
 
 
+@lru_cache(maxsize=2)
+def _library(path: str):
+    """The tokenizers library's own encoder for the vocabulary file."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.no_truncation()
+    found.no_padding()
+    return found
+
+
 def token_ids(path: str, text: str) -> bytes:
-    """The text's ids as little-endian unsigned 32-bit integers."""
+    """The text's ids as little-endian unsigned 32-bit integers. Texts that the fast encoder's backtracking pattern refuses (runs
+    of a million spaces, say) go to the tokenizers library."""
+    if not text:
+        return b""
     core, special = _encoder(path)
-    return bytes(core.encode_to_tiktoken_buffer(text, special)) if text else b""
+    try:
+        return bytes(core.encode_to_tiktoken_buffer(text, special))
+    except ValueError:
+        return np.array(_library(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def pieces(df: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
