@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from .common import cut, extended, map_arrow, numbered, texts_of, with_columns
 from .components import components
-from .similar import survivors
 
 RADIUS = 2
 WORDS = 3
@@ -42,13 +41,32 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
         ends = np.cumsum(sizes + 1) - 1
         starts = ends - sizes
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)]
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes; none of no hashes."""
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):  # bounds the memory of a very long text
-        part = np.array(hashes[at : at + 8192], "<u8")
+        part = hashes[at : at + 8192].astype("<u8")
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def close(left: np.ndarray, right: np.ndarray, radius: int, rows: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in left, in right) of all pairs of fingerprints within the radius, by exclusive-or and bit counts of some rows at
+    a time against those of the other side whose population counts differ by no more than the radius."""
+    bits, others = np.bitwise_count(left).astype(np.int64), np.bitwise_count(right).astype(np.int64)
+    by, against = np.argsort(bits, kind="stable"), np.argsort(others, kind="stable")
+    sorted_bits, sorted_right = others[against], right[against]
+    for at in range(0, len(by), rows):
+        mine = by[at : at + rows]
+        low, high = np.searchsorted(sorted_bits, [bits[mine[0]] - radius, bits[mine[-1]] + radius + 1])
+        if low < high:
+            i, j = np.nonzero(np.bitwise_count(left[mine][:, None] ^ sorted_right[low:high]) <= radius)
+            yield mine[i], against[low + j]
+
+
 def fingerprints(df: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
     """Add the fingerprint as a signed long; a clashing column is replaced."""
 
@@ -69,9 +87,8 @@ def _forest(left: np.ndarray, right: np.ndarray, radius: int) -> list[tuple[int,
         return x
 
     out = []
-    for at in range(0, len(left), 128):
-        rows, columns = np.nonzero(np.bitwise_count(left[at : at + 128, None] ^ right) <= radius)
-        for a, b in zip(left[at + rows].tolist(), right[columns].tolist(), strict=True):
+    for rows, columns in close(left, right, radius):
+        for a, b in zip(left[rows].tolist(), right[columns].tolist(), strict=True):
             if a != b and (x := root(a)) != (y := root(b)):
                 parent[max(x, y)] = min(x, y)
                 out.append((a, b))
@@ -123,12 +140,3 @@ def roots(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows (one for each fingerprint fp) with the least fingerprint that links reach (root)."""
     found = components(links(distinct.select("fp"), radius))
     return distinct.join(found, F.col("fp") == F.col("node"), "left").select(*distinct.columns, F.coalesce("component", "fp").alias("root"))
-
-
-def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of each group of near-duplicates stays, the one with the smallest key (null keys last, any one among rows of an
-    equal key). Rows of other groups stay whatever their keys. The columns are the input's."""
-    marked = cut(fingerprints(df.withColumn("_row", F.monotonically_increasing_id()), text, "_fp"))
-    rows = marked.select("_row", key, F.col("_fp").alias("fp"))
-    kept = cut(survivors(rows.join(roots(rows.select("fp").distinct(), radius), "fp"), "root", key, "_row"))
-    return marked.join(kept, "_row", "left_semi").select(*df.columns)

@@ -1,180 +1,300 @@
-"""Near-duplicates by exact Jaccard similarity of sets of 5-word shingles (the pipeline's stage; operator 7's query has its own contract).
+"""SimHash near-duplicates verified by exact Jaccard similarity of sets of 5-word shingles (operator 7 as a filter of texts; its
+query has a contract of its own: 3 words, 2 bits).
 
 Words are those of `simhash`: A-Z lowered, divided by ASCII spaces; a text of fewer words is one shingle. Texts with equal sets
-are one node. Every set is put in one order over all shingles, rare ones first; two sets of similarity 4/5 or more then share
-one of their first n - ceil(4n/5) + 1 shingles. Nodes that share one are candidates, and each candidate is verified on the whole
-sets, so no pair is missed and none is guessed (up to collisions of 64-bit shingle hashes). The order only decides the cost: it
-comes from counts in a sample. Before pairs are listed, nodes are compared with one leader for each shared shingle; pairs that
-these links connect already are never listed, so that a large group of near copies costs a link a member.
+are one node. A node's fingerprint is the bitwise majority of its shingles' hashes. At similarity 4/5 fingerprints of 64 bits
+differ in about ten bits, too many for bit fields to route them; so nodes meet by shingles instead. Every set is put in one
+order, rare shingles first, and two sets of similarity 4/5 or more then share one of their first n - ceil(4n/5) + 1 shingles.
+Nodes that share one are compared in tiles, by exclusive-or and bit counts of fingerprints (RADIUS) and by sizes, and the pairs
+that are left are verified on the whole texts. The order only decides the cost; it comes from a sketch of counts over all texts.
+
+A large group of near copies costs links by member, not by pair: nodes are compared with the smallest and the largest node of
+each shared shingle first, and pairs that these links connect already are never listed. Texts travel compressed, and only
+those of candidates; everything else is decided on row numbers.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, discard, extended, map_arrow, release, texts_of, with_columns
+from .common import cut, discard, map_arrow, ragged, release, small_batches, texts_of
 from .components import components
+from .simhash import close, majority
 
 WORDS = 5
 #: The least similarity, as a fraction.
 SIMILAR = (4, 5)
-SEED = 42
-#: Texts that shingles are counted in: this share of the rows, and this many at least.
-SAMPLE_SHARE, SAMPLE_ROWS = 0.02, 5000
-#: Shingles, most frequent first, whose counts are used; the others count as rare.
-FREQUENT = 100_000
-#: Rounds of comparison with leaders before pairs are listed.
-LEADERS = 2
+#: Differing bits of fingerprints beyond which a pair isn't verified. Pairs of similarity 4/5 differ in 9.7 bits on average, with
+#: a standard deviation of 2.9; beyond 32 they are less likely than one in 10^11.
+RADIUS = 32
+#: Counters of the sketch of shingle counts, a power of two; its sums (8 bytes each) are what the driver gets, whatever the input.
+COUNTERS = 1 << 19
+#: Nodes of one shingle that are compared in one piece of work; more are dealt out by pairs of tiles.
+TILE = 1024
+#: Words whose hashes a worker keeps.
+KNOWN_WORDS = 500_000
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The hashes of the text's distinct shingles in order; none without words."""
+class _Words(dict):
+    """Hashes of words, kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        found = xxhash.xxh64_intdigest(word, 42)
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+
+_WORDS = _Words()
+
+
+def hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The hashes of the text's shingles in order, repeats included; none without words."""
     tokens = (text or "").encode().lower().split()
     if not tokens:
         return np.zeros(0, np.uint64)
-    joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
-    if len(tokens) <= words:
-        return np.array([digest(joined, SEED)], np.uint64)
-    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
-    found = (digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True))
-    return np.unique(np.fromiter(found, np.uint64, len(tokens) - words + 1))
-
-
-def prefix(hashes: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of the set, enough for any similar set to share one. keys: counted shingles in order."""
-    n, (a, b) = len(hashes), SIMILAR
-    size = n - -(-a * n // b) + 1 if n else 0
-    if not len(keys) or not n:
-        return hashes[:size]
-    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-    return hashes[np.argsort(np.where(keys[at] == hashes, counts[at], 0), kind="stable")[:size]]
+    each = np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
+    wide = min(words, len(each))
+    out = np.full(len(each) - wide + 1, wide, np.uint64)
+    for k in range(wide):
+        out = (out ^ each[k : len(each) - wide + 1 + k]) * _BASE
+        out ^= out >> np.uint64(29)
+    out *= _MIX
+    return out ^ (out >> np.uint64(32))
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
-    values = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The hashes of the text's distinct shingles in order."""
+    return np.unique(hashes(text, words))
 
 
-def _sets(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Replace the text by the array of its shingles."""
+def prefix(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of the set, enough for any similar set to share one. counts: the sketch's."""
+    n, (a, b) = len(found), SIMILAR
+    size = n - -(-a * n // b) + 1 if n else 0
+    return found[np.argsort(counts[_counter(found, len(counts))], kind="stable")[:size]]
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = with_columns(batch, {name: _lists([shingles(t) for t in texts_of(batch.column(text))])})
-        return out.drop_columns([text])
 
-    return map_arrow(df, run, extended(df.drop(text).schema, f"{name} array<long>"))
+def _counter(found: np.ndarray, counters: int) -> np.ndarray:
+    return (found >> np.uint64(65 - int(counters).bit_length())).astype(np.int64)
 
 
-def frequent(df: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of distinct texts has twice or more, in order, and their counts; at most FREQUENT of them."""
-    rows = df.count()
-    share = max(SAMPLE_SHARE, SAMPLE_ROWS / max(rows, 1))
-    texts = df.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(int(1e6 * min(1.0, share))))
-    counted = _sets(texts.dropDuplicates(["text"]), "text", "h").select(F.explode("h").alias("h")).groupBy("h").count().where("count > 1")
-    found = sorted((r[0] % (1 << 64), r[1]) for r in counted.orderBy(F.desc("count"), "h").limit(FREQUENT).collect())
-    return np.array([x[0] for x in found], np.uint64), np.array([x[1] for x in found], np.int64)
+def counted(df: DataFrame, text: str = "text", counters: int = COUNTERS) -> np.ndarray:
+    """How often shingles are met (one a text), by counter, over all texts. Each task adds up its own texts' counters."""
+    blocks = 64
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(counters, np.int64)
+        for batch in batches:
+            found = [shingles(t) for t in texts_of(batch.column(0))]
+            if found:
+                sums += np.bincount(_counter(np.concatenate(found), counters), minlength=counters)
+        if sums.any():
+            yield _blocks(sums.reshape(blocks, -1))
 
-def _digest(text: str):
-    """Tells texts apart; null counts as empty."""
-    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, z in zip(batch.column("block").to_pylist(), batch.column("z").to_pylist(), strict=True):
+                part = np.frombuffer(zstandard.decompress(z), np.int64)
+                sums[block] = sums[block] + part if block in sums else part
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zstandard.compress(s.tobytes()) for s in sums.values()], pa.binary())], names=["block", "z"])
 
+    small_batches(df.sparkSession)
+    parts = df.select(text).mapInArrow(run, "block int, z binary").repartition(8, "block").mapInArrow(add, "block int, z binary")
+    out = np.zeros((blocks, counters // blocks), np.int64)
+    for block, z in parts.collect():  # 64 rows of fixed size
+        out[block] = np.frombuffer(zstandard.decompress(z), np.int64)
+    return out.reshape(-1)
 
-def marks(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A table of the rows without their texts: a number of their own (_row), the key, digests of the text (_text) and of its set
-    (_set), the set's size and its first shingles."""
-    keys, counts = frequent(df, text)
-    df = df.select(F.monotonically_increasing_id().alias("_row"), key, F.col(text).alias("_words"), _digest(text).alias("_text"))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t) for t in texts_of(batch.column("_words"))]
-        digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-        sizes = pa.array([len(s) for s in sets], pa.int32())
-        out = batch.drop_columns(["_words"])
-        return with_columns(out, {"_set": pa.array(digests, pa.binary()), "_size": sizes, "_first": _lists([prefix(s, keys, counts) for s in sets])})
+def _blocks(sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array([zstandard.compress(s.tobytes()) for s in sums], pa.binary())], names=["block", "z"])
 
-    return cut(map_arrow(df, run, extended(df.drop("_words").schema, "_set binary, _size int, _first array<long>")))
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    values = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
-def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets are similar."""
-    a, b = SIMILAR
-    both = pairs.join(held.select(F.col("node").alias("u"), F.col("h").alias("hu")), "u").join(held.select(F.col("node").alias("v"), F.col("h").alias("hv")), "v")
-    both = both.withColumn("_both", F.size(F.array_intersect("hu", "hv")))
-    return both.where(b * F.col("_both") >= a * (F.size("hu") + F.size("hv") - F.col("_both"))).select("u", "v")
 
+def marks(df: DataFrame, text: str = "text") -> DataFrame:
+    """A written table of the rows: the columns as _in_0, _in_1, … but the text, which is compressed (z); a number (_row); the
+    set's digest (_set), size (_size), fingerprint (_fp) and first shingles (_first)."""
+    spark = df.sparkSession
+    counts = spark.sparkContext.broadcast(counted(df, text))  # of fixed size
+    names = [n for n in df.columns if n != text]
+    placed = df.select(F.monotonically_increasing_id().alias("_row"), *[F.col(n).alias(f"_in_{df.columns.index(n)}") for n in names], F.col(text).alias("_words"))
 
-def _close(x: str, y: str):
-    """Sets of these sizes can be similar."""
-    a, b = SIMILAR
-    return b * F.least(x, y) >= a * F.greatest(x, y)
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        press, order = zstandard.ZstdCompressor(level=1), counts.value
+        texts = batch.column("_words").to_pylist()
+        sets = [shingles(t) for t in texts]
+        added = {
+            "z": pa.array([None if t is None else press.compress(t.encode()) for t in texts], pa.binary()),
+            "_set": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+            "_size": pa.array([len(s) for s in sets], pa.int32()),
+            "_fp": pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64)),
+            "_first": _lists([prefix(s, order) for s in sets]),
+        }
+        kept = [n for n in batch.schema.names if n != "_words"]
+        return pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], *added.values()], names=[*kept, *added])
+
+    schema = T.StructType([*placed.drop("_words").schema.fields, *T.StructType.fromDDL("z binary, _set binary, _size int, _fp long, _first array<long>").fields])
+    return cut(map_arrow(placed, run, schema))
 
 
 def _tokens(marked: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes by first shingles that they share with others."""
-    chosen = marked.select(F.col("_row").alias("node"), "_size", "_first").join(nodes.select("node"), "node", "left_semi")
-    sent = chosen.select("node", "_size", F.explode("_first").alias("h"))
-    shared = sent.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    """Nodes by first shingles that they share with others, with the smallest and the largest of the shingle's nodes."""
+    chosen = marked.select(F.col("_row").alias("node"), "_size", "_fp", "_first").join(nodes.select("node"), "node", "left_semi")
+    sent = chosen.select("node", "_size", "_fp", F.explode("_first").alias("h"))
+    shared = sent.groupBy("h").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
     return cut(sent.join(shared, "h"))
 
 
-def _held(df: DataFrame, marked: DataFrame, tokens: DataFrame, text: str) -> DataFrame:
-    """The whole sets of the nodes that share a first shingle."""
-    wanted = marked.select(F.col("_row").alias("node"), "_text").join(tokens.select("node").distinct(), "node", "left_semi")
-    texts = df.select(_digest(text).alias("_text"), F.col(text).alias("_words")).groupBy("_text").agg(F.first("_words").alias("_words"))
-    return cut(_sets(texts.join(wanted, "_text").select("node", "_words"), "_words", "h"))
+def _size_close(x: str, y: str):
+    """Sets of these sizes can be similar."""
+    a, b = SIMILAR
+    return b * F.least(x, y) >= a * F.greatest(x, y)
 
 
-def links(df: DataFrame, marked: DataFrame, nodes: DataFrame, text: str = "text") -> DataFrame:
-    """Links (u, v) that connect exactly what pairs of similar nodes connect. nodes: one row (node) for each distinct set, by one of its rows."""
-    spark = df.sparkSession
-    release(spark)
-    tokens = _tokens(marked, nodes)
-    release(spark)
-    held = _held(df, marked, tokens, text)
-    release(spark)
-
-    found: list[DataFrame] = []
-    left, parts = tokens.withColumn("part", F.col("node")), tokens
-    for turn in range(LEADERS):
-        leaders = left.groupBy("h").agg(F.min_by(F.struct("node", "_size", "part"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("to"))
-        near = left.join(leaders, "h").withColumn("_to_size", F.col("to._size")).where((F.col("part") != F.col("to.part")) & _close("_size", "_to_size"))
-        found.append(cut(_verified(near.select(F.least("node", "to.node").alias("u"), F.greatest("node", "to.node").alias("v")).distinct(), held)))
-        if parts is not tokens:
-            discard(parts)
-        left, parts = _left(tokens, found)
-    other = left.select("h", F.col("node").alias("v"), F.col("_size").alias("_size2"), F.col("part").alias("part2"))
-    near = left.join(other, "h").where((F.col("node") < F.col("v")) & (F.col("part") != F.col("part2")) & _close("_size", "_size2"))
-    found.append(cut(_verified(near.select(F.col("node").alias("u"), "v").distinct(), held)))
-    discard(tokens, held, *([parts] if parts is not tokens else []))
-    out = cut(_all(found))
-    discard(*found)
+def _with_leaders(tokens: DataFrame) -> DataFrame:
+    """Pairs (u, v), u < v, of nodes with the first or the last node of a shingle they share, where sizes and fingerprints are close."""
+    pairs = tokens.select("node", "_size", "_fp", F.explode(F.array("first", "last")).alias("to")).where("node <> to").distinct()
+    leaders = tokens.where("node = first or node = last").select(F.col("node").alias("to"), F.col("_size").alias("_to_size"), F.col("_fp").alias("_to_fp")).distinct()
+    near = pairs.join(leaders, "to").where(_size_close("_size", "_to_size") & (F.bit_count(F.col("_fp").bitwiseXOR(F.col("_to_fp"))) <= RADIUS))
+    return near.select(F.least("node", "to").alias("u"), F.greatest("node", "to").alias("v")).distinct()
+
+
+def _listed(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes of the same piece of work whose fingerprints and sizes are close and whose parts differ."""
+    changed = np.zeros(len(columns["h"]), bool)
+    changed[1:] = False
+    for c in ("h", "low", "high"):
+        changed[1:] |= columns[c][1:] != columns[c][:-1]
+    starts = np.flatnonzero(np.concatenate([[True], changed[1:]])) if len(changed) else np.zeros(0, np.int64)
+    sizes = np.diff(np.concatenate([starts, [len(changed)]]))
+    fps, a, b = columns["_fp"].view(np.uint64), [], []
+    few = sizes <= 64  # many small pieces side by side, a large one by itself
+    rows = ragged(starts[few], sizes[few])
+    ends = np.repeat(starts[few] + sizes[few], sizes[few])
+    for at in range(0, len(rows), 1 << 16):
+        mine, until = rows[at : at + (1 << 16)], ends[at : at + (1 << 16)]
+        left = np.repeat(mine, until - mine - 1)
+        right = ragged(mine + 1, until - mine - 1)
+        good = np.bitwise_count(fps[left] ^ fps[right]) <= RADIUS
+        a.append(left[good])
+        b.append(right[good])
+    for start, size in zip(starts[~few].tolist(), sizes[~few].tolist(), strict=True):
+        place = np.arange(start, start + size)
+        if columns["low"][start] == columns["high"][start]:
+            left, right = place, place
+        else:
+            left, right = place[columns["tile"][place] == columns["low"][start]], place[columns["tile"][place] != columns["low"][start]]
+        for i, j in close(fps[left], fps[right], RADIUS):
+            a.append(left[i])
+            b.append(right[j])
+    left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    node, part, size = columns["node"], columns["part"], columns["_size"].astype(np.int64)
+    x, y = SIMILAR
+    good = (part[left] != part[right]) & (y * np.minimum(size[left], size[right]) >= x * np.maximum(size[left], size[right]))
+    if (columns["low"] != columns["high"]).any():  # small pieces of two tiles list pairs inside a tile too, which are harmless
+        good &= node[left] != node[right]
+    u, v = node[left[good]], node[right[good]]
+    both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1) if len(u) else np.zeros((2, 0), np.int64)
+    return both[0], both[1]
+
+
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each piece of work; the input is sorted by (h, low, high). Only the last piece of a batch is held over."""
+    names = ("h", "low", "high", "tile", "node", "part", "_size", "_fp")
+    held = None
+    for batch in batches:
+        now = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
+        if held is not None:
+            now = {n: np.concatenate([held[n], now[n]]) for n in names}
+        same = (now["h"] == now["h"][-1]) & (now["low"] == now["low"][-1]) & (now["high"] == now["high"][-1])
+        last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+        held = {n: now[n][last:] for n in names}
+        if last:
+            yield _pairs_batch(*_listed({n: now[n][:last] for n in names}))
+    if held is not None:
+        yield _pairs_batch(*_listed(held))
+
+
+def _pairs_batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def _left_over(tokens: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of nodes that share a shingle, that the links found so far leave in different parts, and that are close."""
+    parts = components(found).withColumnRenamed("node", "_node")
+    now = cut(tokens.join(parts, F.col("node") == F.col("_node"), "left").select("node", "_size", "_fp", "h", F.coalesce("component", "node").alias("part")))
+    still = now.groupBy("h").agg(F.min("part").alias("_a"), F.max("part").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a <> _b")
+    tiles = F.ceil(F.col("_n") / TILE).cast("int")
+    dealt = now.join(still.select("h", tiles.alias("_tiles")), "h").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("_tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    dealt = dealt.select("h", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "part", "_size", "_fp")
+    out = cut(dealt.repartition("h", "low", "high").sortWithinPartitions("h", "low", "high").mapInArrow(_pieces, "u long, v long").distinct())
+    discard(now)
     return out
 
 
-def _all(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
+def _verified(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """A written table of the pairs whose sets are similar; whole texts are read, compressed, of the nodes in pairs alone."""
+    pairs = cut(pairs)
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("_row")).distinct()
+    held = cut(marked.select("_row", "z").join(wanted, "_row", "left_semi"))
+    both = pairs.join(held.select(F.col("_row").alias("u"), F.col("z").alias("zu")), "u").join(held.select(F.col("_row").alias("v"), F.col("z").alias("zv")), "v")
+    x, y = SIMILAR
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        press, sets, kept = zstandard.ZstdDecompressor(), {}, []
+
+        def of(node: int, z: bytes | None) -> np.ndarray:
+            if node not in sets:
+                if len(sets) >= 64:
+                    sets.clear()
+                sets[node] = shingles(None if z is None else press.decompress(z).decode())
+            return sets[node]
+
+        for u, v, zu, zv in zip(*[batch.column(c).to_pylist() for c in ("u", "v", "zu", "zv")], strict=True):
+            a, b = of(u, zu), of(v, zv)
+            same = len(np.intersect1d(a, b, assume_unique=True))
+            kept.append(y * same >= x * (len(a) + len(b) - same))
+        mask = pa.array(kept, pa.bool_())
+        return pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], names=["u", "v"])
+
+    out = cut(map_arrow(both, run, "u long, v long"))
+    discard(pairs, held)
+    release(marked.sparkSession)
     return out
 
 
-def _left(tokens: DataFrame, found: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """The shared shingles whose nodes the links found so far leave in several parts, with each node's part; and the table read."""
-    parts = components(_all(found)).withColumnRenamed("node", "_node")
-    now = tokens.join(parts, F.col("node") == F.col("_node"), "left").select("node", "_size", "h", F.coalesce("component", "node").alias("part"))
-    now = cut(now)
-    open_ = now.groupBy("h").agg(F.min("part").alias("_a"), F.max("part").alias("_b")).where("_a <> _b").select("h")
-    return now.join(open_, "h", "left_semi"), now
+def links(marked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (u, v) that connect exactly what pairs of similar nodes connect. nodes: one row (node) for each distinct set, by one of its rows."""
+    tokens = _tokens(marked, nodes)
+    release(marked.sparkSession)
+    near = _verified(_with_leaders(tokens), marked)
+    rest = _left_over(tokens, near)
+    release(marked.sparkSession)
+    more = _verified(rest, marked)
+    out = cut(near.unionByName(more))
+    discard(tokens, near, rest, more)
+    return out
 
 
 def survivors(rows: DataFrame, root: str, key: str, *ties: str) -> DataFrame:
@@ -183,24 +303,25 @@ def survivors(rows: DataFrame, root: str, key: str, *ties: str) -> DataFrame:
     return best.select("_best._key", *[f"_best.{c}" for c in ties])
 
 
-def roots(df: DataFrame, marked: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, text digest and component (the smallest node reachable over links) of every row."""
-    nodes = cut(marked.groupBy("_set").agg(F.min("_row").alias("node")))
-    found = components(links(df, marked, nodes, text)).withColumnRenamed("node", "_node")
-    of = nodes.join(found, F.col("node") == F.col("_node"), "left").select("_set", F.coalesce("component", "node").alias("_root"))
-    return marked.select(key, "_text", "_set").join(of, "_set").select(key, "_text", "_root")
-
-
 def drop_similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of texts that links of similarity 4/5 or more connect stays: the one with the smallest key, null
     keys last, any one among rows of an equal key. Rows of other groups stay whatever their keys; null and empty texts and texts
-    without words are one group. The columns are the input's."""
-    marked = marks(df, key, text)
-    kept = cut(survivors(roots(df, marked, key, text), "_root", key, "_text"))
-    again = cut(marked.groupBy(F.col(key).alias("_key"), "_text").count().where("count > 1").select("_key", "_text"))
-    discard(marked)
+    without words are one group. The columns are the input's, in their order; an empty table stays empty."""
+    names = df.columns
+    marked = marks(df, text)
     release(df.sparkSession)
-    same = [F.col(key).eqNullSafe(F.col("_key")), F.col("_own") == F.col("_text")]
-    once = df.withColumn("_own", _digest(text)).join(kept, same, "left_semi")
-    single, several = once.join(again, same, "left_anti"), once.join(again, same, "left_semi")
-    return single.select(*df.columns).unionByName(several.dropDuplicates([key, "_own"]).select(*df.columns))
+    nodes = cut(marked.groupBy("_set").agg(F.min("_row").alias("node")))
+    found = components(links(marked, nodes)).withColumnRenamed("node", "_node")
+    roots = nodes.join(found, F.col("node") == F.col("_node"), "left").select("_set", F.coalesce("component", "node").alias("_root"))
+    place = f"_in_{names.index(key)}"
+    kept = cut(survivors(marked.select("_row", place, "_set").join(roots, "_set"), "_root", place, "_row").select("_row"))
+    release(df.sparkSession)
+    columns = [("z", text) if n == text else (f"_in_{i}", n) for i, n in enumerate(names)]
+    left = marked.select("_row", *[c for c, _ in columns]).join(kept, "_row", "left_semi").select(*[c for c, _ in columns])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        press = zstandard.ZstdDecompressor()
+        texts = pa.array([None if z is None else press.decompress(z).decode() for z in batch.column("z").to_pylist()], pa.string())
+        return pa.RecordBatch.from_arrays([texts if c == "z" else batch.column(c) for c, _ in columns], names=names)
+
+    return map_arrow(left, run, df.schema)

@@ -7,7 +7,6 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from recordmill.llm import bpe, common
 
-from .test_simhash import classes, plain
 from .test_suffixes import brute
 
 FOLDER = "/root/testdata/sf0.001"
@@ -40,12 +39,6 @@ def test_filters_reject_and_keep(spark, stages):
     assert len(spotless & clean) >= 0.98 * len(spotless)
 
 
-def test_one_of_each_group_stays(stages):
-    before = sorted(by_id(stages[2]).values(), key=lambda r: r.doc_id)
-    labels = classes([plain(r.text) for r in before], [r.doc_id for r in before])
-    assert set(by_id(stages[3])) == set(labels)
-
-
 def test_repeats_are_cut(stages):
     before = sorted((r.doc_id, r.text) for r in stages[3].collect())
     after = by_id(stages[4])

@@ -64,8 +64,6 @@ def test_nulls_repeats_and_empty_tables(spark):
     df = spark.createDataFrame([(3, None, "a"), (2, "", "b"), (None, " ", "c"), (7, "x y z w", "d"), (7, "x y z w", "e")], "doc_id long, text string, fp string")
     rows = simhash.near_duplicates(df).collect()
     assert sorted(r.component_id for r in rows) == [2, 2, 2, 7, 7] and all(len(r.fingerprint) == 16 for r in rows)
-    kept = simhash.drop_near_duplicates(df)
-    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [2, 7]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -73,3 +71,12 @@ def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (5, 5), (None, 3), (4, 3), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25)]
     df = spark.createDataFrame(links, "u long, v long")
     assert {r.node: r.component for r in components.components(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8, **{n: 20 for n in range(20, 26)}}
+
+
+def test_close_finds_every_pair():
+    random.seed(5)
+    left = np.array([random.getrandbits(64) for _ in range(300)], np.uint64)
+    right = np.concatenate([left ^ np.uint64(1 << 9), np.array([0, 2**64 - 1], np.uint64)])
+    for radius in (0, 2, 20, 64):
+        found = {(int(a), int(b)) for i, j in simhash.close(left, right, radius, 16) for a, b in zip(i, j, strict=True)}
+        assert found == {(a, b) for a in range(len(left)) for b in range(len(right)) if (int(left[a]) ^ int(right[b])).bit_count() <= radius}

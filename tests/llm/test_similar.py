@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from recordmill.llm import similar
 
 from .test_pipeline import by_id, stages  # noqa: F401
@@ -60,7 +63,9 @@ def test_chains_and_borders_equal_brute_force(spark, monkeypatch):
     want = survivors(rows)
     assert 12 < len(want) < len(rows)
     assert sorted(tuple(r) for r in similar.drop_similar(df).collect()) == want
-    monkeypatch.setattr(similar, "LEADERS", 0)  # pairs alone give the same
+    # Pairs alone give the same, in tiles of a few nodes too.
+    monkeypatch.setattr(similar, "_with_leaders", lambda tokens: tokens.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0))
+    monkeypatch.setattr(similar, "TILE", 4)
     assert sorted(tuple(r) for r in similar.drop_similar(df).collect()) == want
 
 
@@ -76,3 +81,16 @@ def test_different_texts_under_one_key_stay(spark):
 def test_pipeline_drops_texts_of_similarity(stages):  # noqa: F811
     before = [(r.doc_id, r.text) for r in by_id(stages[2]).values()]
     assert sorted(by_id(stages[3])) == [k for k, _ in survivors(before)]
+
+
+def test_pieces_list_every_close_pair_of_large_groups():
+    random.seed(1)
+    n = 300
+    columns = {"h": np.repeat([1, 2, 2, 2], n), "low": np.repeat([0, 0, 0, 1], n), "high": np.repeat([0, 0, 1, 1], n), "tile": np.zeros(4 * n, np.int64)}
+    columns["tile"][2 * n + n // 2 :] = 1
+    columns |= {"node": np.concatenate([np.arange(n)] * 4), "part": np.concatenate([np.arange(n)] * 4), "_size": np.full(4 * n, 100)}
+    columns["_fp"] = np.array([random.getrandbits(64) for _ in range(n)] * 4, np.uint64).view(np.int64)
+    u, v = similar._listed(columns)
+    fp = columns["_fp"].view(np.uint64)
+    near = {(a, b) for a in range(n) for b in range(a + 1, n) if (int(fp[a]) ^ int(fp[b])).bit_count() <= similar.RADIUS}
+    assert set(zip(u.tolist(), v.tolist(), strict=True)) == near
