@@ -28,19 +28,48 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert topk.top_k(df.where("vec_id in (2100, 2101)"), F.col("vec_id") % 50 == 0).count() == 1
 
 
+def brute_best(vectors, query, own, k=5):
+    return sorted(((int(v @ query), i) for i, v in enumerate(vectors) if i not in own), key=lambda x: (-x[0], x[1]))[:k]
+
+
 def test_reading_stops_early_where_bounds_allow():
     rng = np.random.default_rng(1)
     vectors = (rng.pareto(1.2, (4000, 3)) * 20).astype(np.int64)
     lists, read = topk.Lists(vectors), {}
-    query = np.array([3, 1, 2])
-    got = lists.best(query, 5, np.array([0]), np.arange(4000), read)
-    want = sorted(((-int(v @ query), i) for i, v in enumerate(vectors) if i), key=lambda x: x)[:5]
-    assert [(s, i) for s, i in got] == [(-s, i) for s, i in want] and read["left"] < 0.1 and read["depth"] < 1
+    queries = np.array([[3, 1, 2], [1, -1, 0], [0, 0, 0]])
+    got = lists.best(queries, [np.array([0]), np.array([5]), np.array([], int)], np.arange(4000), 5, read)
+    assert got[0] == brute_best(vectors, queries[0], {0}) and got[1] == brute_best(vectors, queries[1], {5}) and got[2] == [(0, i) for i in range(5)]
+    one = {}
+    lists.best(queries[:1], [np.array([0])], np.arange(4000), 5, one)
+    assert one["depth"] < 0.7 and one["direct"] <= topk.FINALISTS * 5 / 4000
+
+
+def test_flat_data_is_read_to_the_end_and_exact():
+    """Components of one size: the bounds close late, and still few scores are computed directly."""
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(-60, 60, (3000, 48))
+    queries = vectors[:40]
+    read = {}
+    got = topk.Lists(vectors).best(queries, [np.array([i]) for i in range(40)], np.arange(3000), 5, read)
+    assert got == [brute_best(vectors, q, {i}) for i, q in enumerate(queries)]
+    assert read["direct"] / read["queries"] < 0.02
+
+
+def test_equal_vectors_and_small_blocks():
+    vectors = np.array([[2, -1]] * 70 + [[1, 1]])
+    assert topk.Lists(vectors).best(np.array([[1, 1]]), [np.array([70])], np.arange(71)[::-1], 3)[0] == [(1, 69), (1, 68), (1, 67)]
+    assert topk.Lists(vectors[:2]).best(np.array([[1, 1]]), [np.array([0])], np.arange(2), 3)[0] == [(1, 1)]
 
 
 def test_large_components_stay_exact():
     vectors = np.array([[2**40, 1], [2**40, 2], [2**40, 3]], np.int64)
-    assert [p for _, p in topk.Lists(vectors).best(np.array([2**40, 1]), 2, np.zeros(0, np.int64), np.arange(3))] == [2, 1]
+    assert [p for _, p in topk.Lists(vectors).best(np.array([[2**40, 1]]), [np.zeros(0, np.int64)], np.arange(3), 2)[0]] == [2, 1]
+
+
+def test_a_repeated_query_key_gets_one_list(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 2.0]), (3, [0.1, 0.1])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, k=2).orderBy("rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(50, 1, 1, 768 * 256), (50, 2, 2, 512 * 256)]
 
 
 def render(turns, perspective):
