@@ -9,9 +9,14 @@ row for each run of windows (about one for 40 bytes of text), not one for each s
 2. runs whose bytes are equal as a whole need no sorting: all but the first are repeats;
 3. buckets that hold different runs are sorted, a block of whole buckets at a time, with a difference cover (see suffixes),
    so memory is bounded by a block; neighbours with a common prefix of LENGTH or more are one string;
-4. a bucket of more than BUCKET different runs is dealt out over all tasks by its strings, which meet by their hash.
-
-All counts and joins are by key with partial sums; no bucket, copy group or document list is gathered in one place.
+4. a bucket of more than BUCKET different runs is split by sampled splitters into ranges of its strings, each of a block's
+   size, and the parts are sorted in the same way.
+
+What is equal is found by order, not by gathering: copies of a run, and strings of a large bucket, are dealt out in ranges of
+(key, text, place), so that equal ones may lie in several tasks, next to each other. Each task knows all but one of its
+repeats by itself; whether the first of its least key came before is told by the greatest key of the range before. No
+bucket, copy group or document list is gathered in one place. Runs "equal as a whole" are known by two 64-bit hashes, of the
+anchor and of the run; strings of sorted buckets by their bytes.
 """
 
 from __future__ import annotations
@@ -32,11 +37,11 @@ from .suffixes import equal_runs, sorted_suffixes
 
 LENGTH = 100
 GRAM = 16
-#: A bucket of more different runs than this (some 3 MB of bytes) is not sorted by one task.
+#: A bucket of more different runs than this (some 3 MB of bytes) is split into parts, which tasks sort.
 BUCKET = 20_000
 #: Bytes of runs sorted at once in a task.
 BLOCK = 1 << 20
-#: Windows hashed at once.
+#: Windows of runs whose grams are hashed at once.
 CHUNK = 1 << 18
 _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -166,16 +171,79 @@ def spans_of(repeated: np.ndarray, item: np.ndarray, row: np.ndarray, start: np.
 
 
 def _windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """A row for each window of each run, under a 128-bit hash of its bytes."""
-    one, two, rows, starts = [], [], [], []
-    for row, start, n, run in zip(*[batch.column(c).to_pylist() for c in ("row", "start", "n", "run")], strict=True):
-        for k in range(n):
-            window = xxhash.xxh3_128_digest(run[k : k + LENGTH])
-            one.append(int.from_bytes(window[:8], "big", signed=True))
-            two.append(int.from_bytes(window[8:], "big", signed=True))
-        rows += [row] * n
-        starts += range(start, start + n)
-    return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(rows, pa.int64()), pa.array(starts, pa.int32())], names=["w1", "w2", "row", "start"])
+    """A row for each window of each run, with its bytes."""
+    row, start, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("row", "start", "n"))
+    joined = np.frombuffer(b"".join(batch.column("run").to_pylist()), np.uint8)
+    sizes = n + LENGTH - 1
+    begins = np.cumsum(sizes) - sizes
+    at, item = ragged(begins, n), np.repeat(np.arange(len(n)), n)
+    every = np.lib.stride_tricks.sliding_window_view(joined, LENGTH)[at] if len(at) else np.zeros((0, LENGTH), np.uint8)
+    offsets = pa.py_buffer(np.arange(0, LENGTH * (len(at) + 1), LENGTH, dtype=np.int32))
+    strings = pa.Array.from_buffers(pa.binary(), len(at), [None, offsets, pa.py_buffer(np.ascontiguousarray(every))])
+    return pa.RecordBatch.from_arrays([strings, pa.array(row[item]), pa.array((start[item] + at - begins[item]).astype(np.int32))], names=["w", "row", "start"])
+
+
+#: What tasks over ranges of keys hand on: spans of repeats, and one row (low and high set) with the span of the range's very
+#: first row, whose key may have come before, the range's least and greatest key, and its place.
+_RANGED = "row long, a long, b long, low binary, high binary, place int"
+
+
+def _span_batch(spans: tuple, low: bytes | None = None, high: bytes | None = None) -> pa.RecordBatch:
+    from pyspark import TaskContext
+
+    n, place = len(spans[0]), TaskContext.get().partitionId() if low is not None else None
+    columns = [pa.array(np.asarray(x, np.int64)) for x in spans]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([low] * n, pa.binary()), pa.array([high] * n, pa.binary()), pa.array([place] * n, pa.int32())], names=["row", "a", "b", "low", "high", "place"])
+
+
+def _copies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All but the first of runs with the same bytes; the input is sorted by (h, c, row, start)."""
+    first = before = None
+    for batch in batches:
+        h, c, row, start, n = (batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("h", "c", "row", "start", "n"))
+        if not len(h):
+            continue
+        again = np.zeros(len(h), bool)
+        again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+        if before is None:
+            first = (h[0], c[0], row[0], start[0], n[0])
+        else:
+            again[0] = before == (h[0], c[0])
+        before = (h[-1], c[-1])
+        yield _span_batch((row[again], start[again], start[again] + n[again] + LENGTH - 1))
+    if first is not None:
+        name = lambda pair: b"".join(int(x).to_bytes(8, "big", signed=True) for x in pair)
+        yield _span_batch(([first[2]], [first[3]], [first[3] + first[4] + LENGTH - 1]), name(first[:2]), name(before))
+
+
+def _sort_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeats among the strings of one part of the large buckets (w, row, start), by the cover sort."""
+    held = [b for b in batches if len(b)]
+    if not held:
+        return
+    row, start = (np.concatenate([b.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for b in held]) for x in ("row", "start"))
+    strings = [w for b in held for w in b.column("w").to_pylist()]
+    block = np.frombuffer(b"".join(strings), np.uint8)
+    at, bucket = np.arange(0, len(block), LENGTH), np.zeros(len(strings), np.int64)
+    order = sorted_suffixes(block, at, bucket, LENGTH)
+    label = equal_runs(block, at, bucket, order, LENGTH)
+    by = np.lexsort((start[order], row[order], label))
+    again = np.zeros(len(by), bool)
+    again[1:] = label[by][1:] == label[by][:-1]
+    again, first = order[by[again]], order[by[0]]
+    yield _span_batch((row[again], start[again], start[again] + LENGTH))
+    yield _span_batch(([row[first]], [start[first]], [start[first] + LENGTH]), strings[first], strings[order[-1]])
+
+
+def _settled(ranged: DataFrame) -> DataFrame:
+    """Spans of tasks over ranges, with those of first rows whose key the range before ends in. One row a range is collected."""
+    spans = ranged.where("low is null").select("row", "a", "b")
+    again, before = [], None
+    for edge in ranged.where("low is not null").orderBy("place").collect():
+        if before is not None and edge["low"] == before:
+            again.append((edge["row"], edge["a"], edge["b"]))
+        before = edge["high"]
+    return spans.unionByName(ranged.sparkSession.createDataFrame(again, "row long, a long, b long")) if again else spans
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -226,26 +294,32 @@ def _fetched(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     return map_arrow(_packed(rows).join(asked, "row"), _fetch, "row long, h long, start int, n int, large boolean, run binary")
 
 
-def _later_copies(met: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Spans of runs whose bytes came before as a whole."""
-    copied = firsts.where("copies > 1").select("h", "c", F.col("row").alias("row1"), F.col("start").alias("start1"))
-    later = met.join(copied, ["h", "c"]).where("row <> row1 or start <> start1")
-    return later.select("row", F.col("start").cast("long").alias("a"), (F.col("start") + F.col("n") + (LENGTH - 1)).cast("long").alias("b"))
+def _later_copies(met: DataFrame) -> DataFrame:
+    """A table of the spans of runs whose bytes came before as a whole."""
+    keys = ["h", "c", "row", "start"]
+    return cut(met.select(*keys, "n").repartitionByRange(_parts(met), *keys).sortWithinPartitions(*keys).mapInArrow(_copies, _RANGED))
 
 
 def _sorted_repeats(fetched: DataFrame) -> DataFrame:
-    parts = int(fetched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = fetched.where("not large").select("h", "row", "start", "n", "run")
-    return small.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_sort_blocks, "row long, a long, b long")
+    return small.repartition(_parts(fetched), "h").sortWithinPartitions("h").mapInArrow(_sort_blocks, "row long, a long, b long")
+
 
+def _split_repeats(fetched: DataFrame) -> DataFrame | None:
+    """A table of the spans of repeats in large buckets, whose strings are split by sampled splitters; None without such buckets."""
+    large = fetched.where("large").select("row", "start", "n", "run")
+    strings = large.agg(F.sum(F.col("n").cast("long"))).first()[0]
+    if not strings:
+        return None
+    windows = cut(map_arrow(large, _windows, "w binary, row long, start int"))
+    parts = max(_parts(fetched), -(-strings * LENGTH // BLOCK))
+    out = cut(windows.repartitionByRange(parts, "w", "row", "start").mapInArrow(_sort_parts, _RANGED))
+    discard(windows)
+    return out
 
-def _dealt_repeats(fetched: DataFrame) -> DataFrame:
-    """Repeats among the runs of large buckets, whose strings are dealt out by their hash."""
-    parts = int(fetched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    windows = map_arrow(fetched.where("large").select("row", "start", "n", "run").repartition(parts, "row", "start"), _windows, "w1 long, w2 long, row long, start int")
-    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("row", "start")).alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    again = windows.join(first.select("w1", "w2", "first"), ["w1", "w2"]).where("row <> first.row or start <> first.start")
-    return again.select("row", F.col("start").cast("long").alias("a"), (F.col("start") + LENGTH).cast("long").alias("b"))
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
@@ -260,16 +334,25 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     firsts = cut(_firsts(met))
     fetched = cut(_fetched(rows, firsts))
     release(spark)
-    spans = _later_copies(met, firsts).unionByName(_sorted_repeats(fetched)).unionByName(_dealt_repeats(fetched))
+    discard(firsts)
+    copies = _later_copies(met)
+    discard(met)
+    release(spark)
+    split = _split_repeats(fetched)
+    spans = _settled(copies).unionByName(_sorted_repeats(fetched))
+    if split is not None:
+        spans = spans.unionByName(_settled(split))
     found = cut(spans.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("_spans")))  # at most a text's own windows
-    discard(met, firsts, fetched)
+    discard(fetched, copies, *([split] if split is not None else []))
     release(spark)
     return found
 
 
 def _with_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Add `row`, a unique long that orders texts as the key does. A unique key without nulls serves itself; otherwise null
-    keys come last, and rows that share a key go by their text's hash, repeated rows in any order."""
+    """Add `row`, a unique long that orders texts as the key does. A unique integer key without nulls serves itself; otherwise
+    rows are numbered: null keys come last, and rows that share a key go by their text's hash, repeated rows in any order."""
+    if not isinstance(df.schema[key].dataType, T.IntegralType):
+        return numbered(df, [], [F.col(key).asc_nulls_last(), F.xxhash64(text)], "row")
     count = df.agg(F.count(F.lit(1)).alias("n"), F.count(key).alias("known")).first()
     unique = count["n"] == count["known"] and df.select(key).distinct().count() == count["n"]
     if unique:

@@ -34,7 +34,7 @@ STEPS = 16
 #: Vectors that may be left, for each of the k places, when reading stops.
 FINALISTS = 4
 #: Share of a block that is left on average when bounds are kept for single queries and not for the block.
-SPARSE = 0.15
+SPARSE = 0.04
 
 
 class Lists:

@@ -61,10 +61,28 @@ def test_dedup_equals_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = sorted(tuple(r) for r in suffix_dedup.digest(df).collect())
     assert got == brute(docs)
-    monkeypatch.setattr(suffix_dedup, "BUCKET", 3)  # now through the strings dealt out by hash
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 3)  # large buckets are split into parts
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 5000)
     assert sorted(tuple(r) for r in suffix_dedup.digest(df).collect()) == got
 
 
+def test_a_passage_in_most_texts_is_split_over_tasks(spark, monkeypatch):
+    random.seed(9)
+    word = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    passage, letter = word(260), word(180)
+    docs = [(i, word(random.randrange(60)) + passage + word(random.randrange(90))) for i in range(250)] + [(1000 + i, letter) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 50)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 20_000)
+    assert sorted(tuple(r) for r in suffix_dedup.digest(df).collect()) == brute(docs)
+
+
+def test_text_keys_go_in_their_order(spark):
+    text = "".join(random.Random(4).choices("abcdef", k=150))
+    got = suffix_dedup.digest(spark.createDataFrame([("b", text), ("a10", text), ("a9", text)], "doc_id string, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {"a10": 0, "a9": 150, "b": 150}
+
+
 def test_dedup_of_repeated_and_null_keys(spark):
     text = "".join(random.Random(4).choices("abcdef", k=300))
     docs = [(1, text), (1, text), (None, text), (0, "q" + text)]
