@@ -113,3 +113,18 @@ def test_odd_conversations(spark):
     two = sorted((r.start, r.end) for r in out if r.conv_id == 2)
     assert two[0][1] == two[1][0]
     assert chat.perspectives(df.limit(0)).count() == 0
+
+
+def test_turns_of_one_number_and_speaker_go_by_text(spark):
+    texts = ["nut", "lime", "fig", "kiwi", "pear", "apple"]
+    df = spark.createDataFrame([(1, 4, "a", t) for t in texts], "conv_id long, turn long, role string, text string").repartition(3)
+    rows = chat.perspectives(df).orderBy("start").collect()
+    assert [r.segment.split("\n")[1].removesuffix("<|end|>") for r in rows] == sorted(texts)
+
+
+def test_a_very_long_turn_and_a_hot_conversation(spark):
+    rows = [(1, 0, "a", "x" * 200_000), (1, 1, "b", "y")] + [(2, t, "ab"[t % 2], str(t)) for t in range(400)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    out = {(r.conv_id, r.perspective, r.turn): r for r in chat.perspectives(df).collect()}
+    assert len(out) == 804 and out[1, "b", 1].start == out[1, "b", 0].end > 200_000
+    assert all(out[2, "a", t].end == out[2, "a", t + 1].start for t in range(399))
