@@ -14,18 +14,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, map_arrow, texts_of
+from .common import extended, map_arrow, texts_of, with_columns
 
 DIMENSIONS = 1024
 GRAM = 3
 SEED = 7
 #: Bound of the training sample: about so many documents of each language, chosen by a hash of their id.
 TRAIN_PER_LANGUAGE = 1500
-#: Languages learned at most (the most frequent ones); bounds the prototypes' size.
-LANGUAGES = 1000
 UNKNOWN = "und"
 #: n-gram vectors kept in a worker; beyond it the table starts anew.
 TABLE = 40_000
+#: A table of languages of at most so many rows is broadcast; a larger one is joined by shuffle.
+BROADCAST_LANGUAGES = 100_000
+#: Prototypes that texts are compared with at once.
+BLOCK = 4096
+#: n-grams of a text that are looked up at once.
+CHUNK = 4096
 
 
 class Space:
@@ -61,11 +65,17 @@ class Space:
         keys, counts = self.grams(text)
         if not len(keys):
             return None
-        if len(self.rows) + len(keys) > max(TABLE, len(keys)):
-            self.rows.clear()
+        out = np.zeros(self.dimensions, np.float32)
+        for k in range(0, len(keys), CHUNK):
+            out += counts[k : k + CHUNK].astype(np.float32) @ self._vectors(keys[k : k + CHUNK].tolist()).astype(np.float32)
+        return out
+
+    def _vectors(self, keys: list[int]) -> np.ndarray:
+        """The vectors of some n-grams; at most TABLE are kept, whatever a text holds."""
         rows = self.rows
-        known = keys.tolist()
-        for key in known:
+        if len(rows) + len(keys) > TABLE:
+            rows.clear()
+        for key in keys:
             if key not in rows:
                 if len(rows) == len(self.vectors):
                     self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
@@ -74,12 +84,7 @@ class Space:
                     made = made * np.roll(self.letter(key >> 21 * place & 0x1FFFFF), place)
                 self.vectors[len(rows)] = made
                 rows[key] = len(rows)
-        at = np.fromiter(map(rows.__getitem__, known), np.int64, len(known))
-        out = np.zeros(self.dimensions, np.float32)
-        weights = counts.astype(np.float32)
-        for k in range(0, len(at), 4096):
-            out += weights[k : k + 4096] @ self.vectors[at[k : k + 4096]].astype(np.float32)
-        return out
+        return self.vectors[np.fromiter(map(rows.__getitem__, keys), np.int64, len(keys))]
 
 
 @lru_cache(maxsize=1)
@@ -88,13 +93,14 @@ def space(dimensions: int, gram: int, seed: int) -> Space:
 
 
 def fit(df: DataFrame, trainable: Column, lang: str = "lang", text: str = "text", key: str = "doc_id", per_language: int = TRAIN_PER_LANGUAGE) -> dict[str, np.ndarray]:
-    """Prototypes of the languages of the rows that may be learned from (null languages, texts and keys teach nothing)."""
+    """Prototypes of all languages of the rows that may be learned from (null languages, texts and keys teach nothing; languages
+    whose texts have no letter have none). About `per_language` documents of each are read, chosen by a hash of their key."""
     known = df.where(trainable & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
-    counts = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
-    if not counts:
-        return {}
-    share = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(int(1e6 * min(1.0, per_language / r[1]))))])
-    sample = known.where(F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(1_000_000)) < F.try_element_at(share, F.col(lang))).select(F.col(lang).alias("lang"), F.col(text).alias("text")).repartition(8)
+    shares = known.groupBy(F.col(lang).alias("_lang")).agg((F.least(F.lit(1.0), per_language / F.count(F.lit(1))) * 1_000_000).cast("long").alias("_share"))
+    if shares.count() <= BROADCAST_LANGUAGES:
+        shares = F.broadcast(shares)
+    sample = known.join(shares, F.col(lang) == F.col("_lang")).where(F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(1_000_000)) < F.col("_share"))
+    sample = sample.select(F.col(lang).alias("lang"), F.col(text).alias("text")).repartition(8)
 
     def run(batches):
         vectors = space(DIMENSIONS, GRAM, SEED)
@@ -118,8 +124,6 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
     matrix = np.array([prototypes[n] for n in names], np.float32).reshape(-1, DIMENSIONS)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        from .common import with_columns
-
         vectors = space(DIMENSIONS, GRAM, SEED)
         found, scores = [], []
         for t in texts_of(batch.column(text)):
@@ -128,10 +132,13 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
                 found.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            cosines = matrix @ v / size
-            best = int(cosines.argmax())
+            best, cosine = 0, -2.0
+            for at in range(0, len(matrix), BLOCK):
+                cosines = matrix[at : at + BLOCK] @ v / size
+                if float(cosines.max()) > cosine:
+                    best, cosine = at + int(cosines.argmax()), float(cosines.max())
             found.append(names[best])
-            scores.append(float(min(1.0, max(0.0, cosines[best]))))
+            scores.append(min(1.0, max(0.0, cosine)))
         return with_columns(batch, {"lang_pred": pa.array(found, pa.string()), "score": pa.array(scores, pa.float64())})
 
     return map_arrow(df, run, extended(df.schema, "lang_pred string, score double"))
