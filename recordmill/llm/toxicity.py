@@ -20,8 +20,8 @@ from .common import extended, map_arrow, texts_of, with_columns
 BITS = 20
 #: Bound of the training sample: about so many labelled documents, chosen by a hash of their id.
 TRAIN_DOCUMENTS = 6000
-#: Passes over the sample: enough for so many updates in all, within bounds.
-UPDATES, FEWEST, MOST = 30_000, 5, 20
+#: Passes over the sample.
+PASSES = 8
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.5
 #: Lengths in bytes of the stems of longer words.
 STEMS = (4, 5)
@@ -55,11 +55,7 @@ class Model:
         return out
 
 
-def passes(documents: int) -> int:
-    return min(MOST, max(FEWEST, UPDATES // max(1, documents)))
-
-
-def ftrl(features: list[np.ndarray], labels: list[int], epochs: int | None = None) -> Model:
+def ftrl(features: list[np.ndarray], labels: list[int], epochs: int = PASSES) -> Model:
     """FTRL-proximal over the texts in the order given; features of a text are distinct, with value one. The last is the bias."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = np.array([1 << BITS])
@@ -69,7 +65,7 @@ def ftrl(features: list[np.ndarray], labels: list[int], epochs: int | None = Non
         free = np.where(i == bias, 0.0, L1)
         return np.where(np.abs(zi) <= free, 0.0, -(zi - np.sign(zi) * free) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
-    for _ in range(passes(len(labels)) if epochs is None else epochs):
+    for _ in range(epochs):
         for x, y in zip(features, labels, strict=True):
             i = np.concatenate([x, bias])
             w = weights(i)
@@ -82,7 +78,7 @@ def ftrl(features: list[np.ndarray], labels: list[int], epochs: int | None = Non
     return Model(index, final[index].astype(np.float32), float(weights(bias)[0]))
 
 
-def fit(df: DataFrame, labels: DataFrame, trainable: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", documents: int = TRAIN_DOCUMENTS) -> Model:
+def fit(df: DataFrame, labels: DataFrame, trainable: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", documents: int = TRAIN_DOCUMENTS, passes: int = PASSES) -> Model:
     """Learn from labelled rows of `labels` that may be learned from. Null keys, labels and texts teach nothing; of several
     labels of one document the highest counts. Without labels the model scores 0.5 everywhere."""
     known = labels.where(trainable & F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("_y"))
@@ -91,16 +87,22 @@ def fit(df: DataFrame, labels: DataFrame, trainable: Column, key: str = "doc_id"
     sample = known.where(F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1_000_000)) < share).select(F.col(key).alias("_key"), "_y")
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.col(text).alias("text"))
     rows = rows.join(F.broadcast(sample), F.col("_id") == F.col("_key"))  # at most about `documents` rows of two numbers
-    # A shuffle of the sample into one task; coalescing would pull the scan into that task too.
-    rows = rows.select(F.xxhash64("_key", F.lit(5)).alias("order"), F.col("_y").cast("int").alias("y"), "text").repartition(1).sortWithinPartitions("order", "text")
+    rows = rows.select(F.xxhash64("_key", F.lit(5)).alias("order"), F.col("_y").cast("int").alias("y"), "text")
+
+    def indexed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = [np.unique(hashed(t)).astype(np.int32) for t in texts_of(batch.column("text"))]
+        return pa.RecordBatch.from_arrays([batch.column("order"), batch.column("y"), pa.array(x, pa.list_(pa.int32()))], names=["order", "y", "x"])
+
+    # The scan hashes; a shuffle brings the sample's distinct indices (at most 2^BITS a text) into one task.
+    rows = map_arrow(rows, indexed, "order long, y int, x array<int>").repartition(1).sortWithinPartitions("order", "x")
 
     def run(batches):
         features, ys = [], []
         for batch in batches:
-            for y, t in zip(batch.column("y").to_pylist(), texts_of(batch.column("text")), strict=True):
-                features.append(np.unique(hashed(t)).astype(np.int32))
-                ys.append(int(y > 0))
-        m = ftrl(features, ys) if ys else Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0)
+            x = batch.column("x")
+            features += [x[i].values.to_numpy() for i in range(len(x))]
+            ys += [int(y > 0) for y in batch.column("y").to_pylist()]
+        m = ftrl(features, ys, passes) if ys else Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0)
         yield pa.RecordBatch.from_arrays([pa.array([m.index.tolist()], pa.list_(pa.int64())), pa.array([m.weight.tolist()], pa.list_(pa.float64())), pa.array([m.bias])], names=["index", "weight", "bias"])
 
     found = rows.mapInArrow(run, "index array<long>, weight array<double>, bias double").collect()  # one row, as sparse as L1 makes it
@@ -115,7 +117,9 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m: Model = shared.value
-        held = run.__dict__.setdefault("table", m.table())
+        if "table" not in run.__dict__:  # once a task
+            run.__dict__["table"] = m.table()
+        held = run.__dict__["table"]
         out = []
         for t in texts_of(batch.column(text)):
             i = hashed(t)
