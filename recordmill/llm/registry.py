@@ -66,7 +66,7 @@ def site_path() -> Column:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), site_path())
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), site_path(), keep=["doc_id", "source"])
     return found.select("doc_id", "source", "doc_logit", "host_posterior", "path_posterior", "quality_score", F.col("quality_kept").alias("kept"))
 
 

@@ -38,6 +38,73 @@ def test_language_of_odd_rows(spark):
     assert language.predict(train.limit(1), {}).first().lang_pred == "und" and language.fit(train.limit(0), F.lit(True)) == {}
 
 
+def plain_bundle(text, dimensions=language.DIMENSIONS):
+    space = language.Space(dimensions)
+    letters = [ord(c) for c in " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())]
+    letters = [32, *letters, 32]
+    out = np.zeros(dimensions)
+    for i in range(len(letters) - 2):
+        one = np.ones(dimensions)
+        for k in range(3):
+            one = one * np.roll(space.letter(letters[i + k]).astype(float), 2 - k)
+        out += one
+    return out
+
+
+def test_predictions_equal_plain_bundles(spark, small):
+    df = spark.read.parquet(f"{small}/documents.parquet").where("length(text) < 1500").limit(30)
+    texts = {r.doc_id: r for r in df.collect()}
+    model = language.fit(df, F.col("doc_id") % 2 == 0)
+    prototypes: dict = {}
+    for r in texts.values():
+        if r.doc_id % 2 == 0:
+            prototypes[r.lang] = prototypes.get(r.lang, 0) + plain_bundle(r.text)
+    assert sorted(model) == sorted(prototypes)
+    for r in language.predict(df, model).collect():
+        v = plain_bundle(r.text)
+        cosines = {k: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for k, p in prototypes.items()}
+        assert r.lang_pred == max(sorted(cosines), key=cosines.get) and r.score == pytest.approx(max(cosines.values()), abs=1e-4)
+
+
+def test_language_of_long_texts_ties_and_many_languages(spark, monkeypatch):
+    space = language.Space(64)
+    text = "".join(random.Random(3).choices([chr(c) for c in range(0x4E00, 0x4E00 + 3000)], k=30_000))
+    whole = space.vector(text)
+    monkeypatch.setattr(language, "TABLE", 5000)
+    monkeypatch.setattr(language, "CHUNK", 500)
+    small = language.Space(64)
+    assert (small.vector(text) == whole).all() and len(small.rows) <= 5000
+    rows = [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", f"l{i}") for i in range(1300)] + [(5000, "same words", "za"), (5001, "same words", "zb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, F.lit(True))
+    assert len(model) == 1302
+    monkeypatch.setattr(language, "BLOCK", 100)
+    assert language.predict(df.where("doc_id = 5001"), model).first().lang_pred == "za"  # equal cosines go to the first name
+    assert language.predict(df.limit(0), model).count() == 0
+
+
+def test_toxicity_scores_equal_plain_sums(spark, small):
+    """The query's scores: sums of weights over distinct hashes of words, stems, pairs and skip pairs."""
+    df = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(df, spark.read.parquet(f"{small}/labels.parquet"), F.lit(True))
+    weights = dict(zip(model.index.tolist(), model.weight.tolist(), strict=True))
+    mask, mix = (1 << 64) - 1, lambda x: ((x ^ x >> 31) * int(toxicity._A) & ((1 << 64) - 1)) >> 64 - toxicity.BITS
+    a, b, c = int(toxicity._A), int(toxicity._B), int(toxicity._C)
+
+    def plain(text):
+        words = "".join(x.lower() if "A" <= x <= "Z" else x if x.isalnum() or ord(x) > 127 else " " for x in text).encode().split(b" ")
+        words = [w for w in words if w]
+        h = [zlib.crc32(w) + 1 for w in words]
+        seen = {mix(x * a & mask) for x in h} | {mix((zlib.crc32(w[:n]) * b + n) & mask) for w in words for n in toxicity.STEMS if len(w) > n}
+        seen |= {mix((x * b & mask) ^ (y * c + 1 & mask)) for x, y in zip(h, h[1:], strict=False)} | {mix((x * c & mask) ^ (y * b + 2 & mask)) for x, y in zip(h, h[2:], strict=False)}
+        return 1 / (1 + np.exp(-(sum(weights.get(i, 0.0) for i in seen) + model.bias)))
+
+    rows = toxicity.score(df.unionByName(df.limit(3)), model).collect()
+    assert weights and all(r.score == pytest.approx(plain(r.text or ""), abs=1e-5) for r in rows) and len(rows) == df.count() + 3
+    long = spark.createDataFrame([(1, (df.first().text + " ") * 3000)], df.schema)
+    assert 0 <= toxicity.score(long, model).first().score <= 1
+
+
 def plain_ftrl(features, labels, epochs):
     z, n, w = {}, {}, {}
     bias = "bias"
@@ -99,12 +166,51 @@ def test_quality_keeps_clean_documents(spark):
     assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) < 0.1
 
 
-def test_sparse_sites_shrink(spark):
-    scored = spark.createDataFrame([("h1", "p1", 4.0)] * 200 + [("h1", "p2", -4.0)] * 2 + [("h2", "q", -4.0)] * 150 + [(None, None, 0.0)], "h string, p string, doc_logit double")
-    sites, rate, strength = quality.posteriors(scored, "h", "p")
-    hosts = {r.h: r.host_rate for r in sites.collect()}
-    assert hosts["h2"] < rate < hosts["h1"] and None in hosts and min(strength.values()) >= 1
-    assert rate < hosts[None] + 0.2 and hosts[None] < hosts["h1"]
+def plain_posteriors(rows, rate, k_host, k_path):
+    """Quality of (host, path, logit) rows, by loops."""
+    chance = lambda x: 1 / (1 + np.exp(-x))
+    out = []
+    for i, (h, p, x) in enumerate(rows):
+        hosts = [chance(y) for j, (a, _, y) in enumerate(rows) if a == h and j != i]
+        paths = [chance(y) for j, (a, b, y) in enumerate(rows) if (a, b) == (h, p) and j != i]
+        host = min(max((sum(hosts) + k_host * rate) / (len(hosts) + k_host), 1e-6), 1 - 1e-6)
+        path = min(max((sum(paths) + k_path * host) / (len(paths) + k_path), 1e-6), 1 - 1e-6)
+        out.append(chance(x + np.log(path / (1 - path)) - np.log(rate / (1 - rate))))
+    return out
+
+
+def test_sites_change_verdicts_as_plain_sums_do(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [("good.org", f"p{i % 3}", 3 + rng.random()) for i in range(120)] + [("bad.org", f"p{i % 3}", -3 - rng.random()) for i in range(120)]
+    rows += [("good.org", "p0", -0.4), ("bad.org", "p0", 0.4), ("good.org", "new", -0.4), ("alone.org", "x", 0.4), (None, None, 0.4), (None, None, 0.4), ("good.org", "p1", 3.5), ("good.org", "p1", 3.5)]
+    df = spark.createDataFrame([(i, *r, "t") for i, r in enumerate(rows)], "doc_id long, h string, p string, doc_logit double, quality_score string").repartition(3)
+    got = {r.doc_id: r for r in quality.judged(df, F.col("h"), F.col("p")).collect()}
+    _, rate, strength = quality.posteriors(df, "h", "p")
+    want = plain_posteriors(rows, rate, strength["host"], strength["path"])
+    assert [got[i].quality_score for i in range(len(rows))] == pytest.approx(want)
+    verdicts = {r[:2]: got[i].quality_kept for i, r in enumerate(rows) if abs(r[2]) == 0.4}
+    assert verdicts == {("good.org", "p0"): True, ("bad.org", "p0"): False, ("good.org", "new"): True, ("alone.org", "x"): True, (None, None): True}
+    monkeypatch.setattr(quality, "BROADCAST_SITES", 0)  # the way without a broadcast gives the same
+    again = {r.doc_id: r.quality_score for r in quality.judged(df, F.col("h"), F.col("p")).collect()}
+    assert [again[i] for i in range(len(rows))] == pytest.approx(want)
+
+
+def test_sites_of_pages(spark, small):
+    host, path = quality.site_of(F.col("url"))
+    urls = [("https://www.Example.org/en/12?x=1", "example.org", "example.org/en"), ("http://a.b:80", "a.b", "a.b"), ("no address", None, ""), (None, None, "")]
+    df = spark.createDataFrame([(u,) for u, _, _ in urls], "url string").select(host.alias("h"), path.alias("p"))
+    assert [(r.h, r.p) for r in df.collect()] == [u[1:] for u in urls]
+    pages = spark.read.parquet(f"{small}/pages.parquet").withColumn("doc_logit", F.pmod(F.col("page_id"), F.lit(7)) - 3.0)
+    out = quality.judged(pages, host, path, keep=["page_id"])
+    assert out.count() == pages.count() and out.select("host_posterior").distinct().count() > 5
+
+
+def test_features_of_long_and_empty_texts(monkeypatch):
+    text = "".join(random.Random(1).choices("abc é\n", k=5000))
+    whole = quality.features(text)
+    monkeypatch.setattr(quality, "CHUNK", 97)
+    assert quality.features(text) == pytest.approx(whole) and np.linalg.norm(whole[quality.SHAPE :]) == pytest.approx(1)
+    assert not quality.features("").any() and not quality.features(" \n").any()
 
 
 def test_quality_of_odd_rows(spark):
