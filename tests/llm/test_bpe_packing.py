@@ -34,6 +34,19 @@ def test_codec_equals_the_library(reference, spark, small):
         assert codec.decode(ids) == reference.decode(ids, skip_special_tokens=False)
 
 
+def test_digests_equal_the_library_on_every_document(reference, spark, small):
+    from hashlib import sha256
+
+    df = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    df = df.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "x" * 300_000), (-4, "\u00e9 " * 40_000), (7, "again")], df.schema))
+    digest = lambda text: sha256(text.encode()).hexdigest()
+    want = []
+    for r in df.collect():
+        ids = reference.encode(r.text or "", add_special_tokens=False).ids
+        want.append((r.doc_id, len(ids), digest(",".join(map(str, ids))), digest(reference.decode(ids, skip_special_tokens=False))))
+    assert sorted(tuple(r) for r in bpe.digest(df).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == sorted(want)
+
+
 def test_short_and_long_merges_agree():
     codec = bpe.Codec(bpe.default_vocabulary())
     random.seed(2)
