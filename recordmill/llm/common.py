@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OWN_FOLDER: str | None = None
+_SCOPES: list[list[DataFrame]] = []
 #: Rows of text handed to a Python worker at once: bounds a worker's memory whatever the partition's size.
 TEXT_BATCH_ROWS = 500
 
@@ -52,9 +54,29 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path, compression="zstd")
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    for made in _SCOPES:
+        made.append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """The tables that cut() writes inside the block."""
+    made: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES[:] = [s for s in _SCOPES if s is not made]
+
+
+def sweep(tables: list[DataFrame], read_by: DataFrame) -> None:
+    """Delete tables that cut() wrote, but those that a frame still reads."""
+    files = read_by.inputFiles()
+    discard(*[t for t in tables if not any(t._cut_path.rpartition("/")[2] in f for f in files)])
+    tables.clear()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that cut() wrote, when nothing reads them any more."""
     for df in tables:

@@ -157,12 +157,65 @@ def marks(df: DataFrame, text: str = "text") -> DataFrame:
     return cut(map_arrow(placed, run, schema))
 
 
+def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, node) whose h comes again beside them; the input is sorted. What the borders of the range may share with the next
+    ranges is told by two rows more: the first and the last one, with their place and whether they are still alone (edge 1 and 2
+    if so, else 3 and 4)."""
+    from pyspark import TaskContext
+
+    def rows(h, node, place=None, edge=0) -> pa.RecordBatch:
+        n = len(h)
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(node, pa.int64()), pa.array([place] * n, pa.int32()), pa.array([edge] * n, pa.int32())], names=["h", "node", "place", "edge"])
+
+    first = held = None  # held: the last row so far, and whether it has company
+    for batch in batches:
+        h, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "node"))
+        if not len(h):
+            continue
+        company = np.zeros(len(h) + 1, bool)  # with the row before
+        company[1:-1] = h[1:] == h[:-1]
+        if held is not None:
+            company[0] = h[0] == held[0]
+            if held[2] or company[0]:
+                yield rows([held[0]], [held[1]])
+            if first is not None and first[2] is None:
+                first = (first[0], first[1], bool(company[0]))
+        else:
+            first = (int(h[0]), int(node[0]), bool(company[1]) if len(h) > 1 else None)
+        shared = (company[:-1] | company[1:])[:-1]
+        yield rows(h[:-1][shared], node[:-1][shared])
+        held = (int(h[-1]), int(node[-1]), bool(company[len(h) - 1]))
+    if held is not None:
+        place = TaskContext.get().partitionId()
+        if held[2]:
+            yield rows([held[0]], [held[1]])
+        yield rows([first[0]], [first[1]], place, 3 if first[2] else 1)
+        yield rows([held[0]], [held[1]], place, 4 if held[2] else 2)
+
+
 def _tokens(marked: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes by first shingles that they share with others, with the smallest and the largest of the shingle's nodes."""
-    chosen = marked.select(F.col("_row").alias("node"), "_size", "_fp", "_first").join(nodes.select("node"), "node", "left_semi")
-    sent = chosen.select("node", "_size", "_fp", F.explode("_first").alias("h"))
-    shared = sent.groupBy("h").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    return cut(sent.join(shared, "h"))
+    """Nodes by first shingles that they share with others: h, node, _size, _fp.
+
+    Shingles meet by order: one shuffle into ranges of (h, node), so that one shingle may lie in several tasks, and one row at
+    each border of a range is settled by its neighbour. Two rows a range are collected.
+    """
+    spark = marked.sparkSession
+    sent = marked.select(F.col("_row").alias("node"), "_first").join(nodes.select("node"), "node", "left_semi").select(F.explode("_first").alias("h"), "node")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(sent.repartitionByRange(parts, "h", "node").sortWithinPartitions("h", "node").mapInArrow(_neighbours, "h long, node long, place int, edge int"))
+    edges = ranged.where("edge > 0").orderBy("place", F.pmod(F.col("edge") - 1, F.lit(2))).collect()
+    added = set()
+    for (low, high), (before, after) in zip(zip(edges[::2], edges[1::2], strict=True), zip([None, *edges[1::2]], [*edges[2::2], None], strict=False), strict=False):
+        if low["edge"] == 1 and before is not None and before["h"] == low["h"]:
+            added.add((low["h"], low["node"]))
+        if high["edge"] == 2 and after is not None and after["h"] == high["h"]:
+            added.add((high["h"], high["node"]))
+    shared = ranged.where("edge = 0").select("h", "node")
+    if added:
+        shared = shared.unionByName(spark.createDataFrame(sorted(added), "h long, node long"))
+    out = cut(shared.join(nodes.select("node", "_size", "_fp"), "node"))
+    discard(ranged)
+    return out
 
 
 def _size_close(x: str, y: str):
@@ -173,8 +226,9 @@ def _size_close(x: str, y: str):
 
 def _with_leaders(tokens: DataFrame) -> DataFrame:
     """Pairs (u, v), u < v, of nodes with the first or the last node of a shingle they share, where sizes and fingerprints are close."""
-    pairs = tokens.select("node", "_size", "_fp", F.explode(F.array("first", "last")).alias("to")).where("node <> to").distinct()
-    leaders = tokens.where("node = first or node = last").select(F.col("node").alias("to"), F.col("_size").alias("_to_size"), F.col("_fp").alias("_to_fp")).distinct()
+    ends = tokens.groupBy("h").agg(F.min("node").alias("first"), F.max("node").alias("last"))
+    pairs = tokens.join(ends, "h").select("node", "_size", "_fp", F.explode(F.array("first", "last")).alias("to")).where("node <> to").distinct()
+    leaders = pairs.select("to").distinct().join(tokens.select(F.col("node").alias("to"), F.col("_size").alias("_to_size"), F.col("_fp").alias("_to_fp")).distinct(), "to")
     near = pairs.join(leaders, "to").where(_size_close("_size", "_to_size") & (F.bit_count(F.col("_fp").bitwiseXOR(F.col("_to_fp"))) <= RADIUS))
     return near.select(F.least("node", "to").alias("u"), F.greatest("node", "to").alias("v")).distinct()
 
@@ -285,7 +339,8 @@ def _verified(pairs: DataFrame, marked: DataFrame) -> DataFrame:
 
 
 def links(marked: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (u, v) that connect exactly what pairs of similar nodes connect. nodes: one row (node) for each distinct set, by one of its rows."""
+    """Links (u, v) that connect exactly what pairs of similar nodes connect. nodes: one row (node, _size, _fp) for each distinct
+    set, by one of its rows."""
     tokens = _tokens(marked, nodes)
     release(marked.sparkSession)
     near = _verified(_with_leaders(tokens), marked)
@@ -310,7 +365,7 @@ def drop_similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     names = df.columns
     marked = marks(df, text)
     release(df.sparkSession)
-    nodes = cut(marked.groupBy("_set").agg(F.min("_row").alias("node")))
+    nodes = cut(marked.groupBy("_set").agg(F.min("_row").alias("node"), F.min("_size").alias("_size"), F.min("_fp").alias("_fp")))
     found = components(links(marked, nodes)).withColumnRenamed("node", "_node")
     roots = nodes.join(found, F.col("node") == F.col("_node"), "left").select("_set", F.coalesce("component", "node").alias("_root"))
     place = f"_in_{names.index(key)}"
