@@ -5,12 +5,14 @@ Words are those of `simhash`: A-Z lowered, divided by ASCII spaces; a text of fe
 are one node. A node's fingerprint is the bitwise majority of its shingles' hashes. At similarity 4/5 fingerprints of 64 bits
 differ in about ten bits, too many for bit fields to route them; so nodes meet by shingles instead. Every set is put in one
 order, rare shingles first, and two sets of similarity 4/5 or more then share one of their first n - ceil(4n/5) + 1 shingles.
-Nodes that share one are compared in tiles, by exclusive-or and bit counts of fingerprints (RADIUS) and by sizes, and the pairs
-that are left are verified on the whole texts. The order only decides the cost; it comes from a sketch of counts over all texts.
-
-A large group of near copies costs links by member, not by pair: nodes are compared with the smallest and the largest node of
-each shared shingle first, and pairs that these links connect already are never listed. Texts travel compressed, and only
-those of candidates; everything else is decided on row numbers.
+Nodes that share one are compared in tiles, by exclusive-or and bit counts of fingerprints (RADIUS), by sizes, and by exclusive-or
+of parity maps: each shingle flips one of 256 bits, so that maps never differ in more bits than sets do in shingles, and at
+similarity 4/5 sets differ in no more than a ninth of their sizes' sum. The pairs that are left are verified on the whole
+texts. The order only decides the cost; it comes from a sketch of counts over all texts.
+
+A large group of near copies costs links by member, not by pair: nodes are compared with a few leaders of each shared shingle
+first, and pairs that these links connect already are never listed. Texts travel compressed, and only those of candidates;
+everything else is decided on row numbers. Joins that carry much are sort-merge joins at every size.
 """
 
 from __future__ import annotations
@@ -34,8 +36,10 @@ WORDS = 5
 #: The least similarity, as a fraction.
 SIMILAR = (4, 5)
 #: Differing bits of fingerprints beyond which a pair isn't verified. Pairs of similarity 4/5 differ in 9.7 bits on average, with
-#: a standard deviation of 2.9; beyond 32 they are less likely than one in 10^11.
-RADIUS = 32
+#: a standard deviation of 2.9; beyond 24 they are about one in two million.
+RADIUS = 24
+#: Words of 64 bits of a node's parity map.
+MAPS = ("_m0", "_m1", "_m2", "_m3")
 #: Counters of the sketch of shingle counts, a power of two; its sums (8 bytes each) are what the driver gets, whatever the input.
 COUNTERS = 1 << 19
 #: Nodes of one shingle that are compared in one piece of work; more are dealt out by pairs of tiles.
@@ -125,6 +129,12 @@ def _blocks(sums: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array([zstandard.compress(s.tobytes()) for s in sums], pa.binary())], names=["block", "z"])
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """A map of 256 bits, each set if an odd number of the shingles fall on it; four signed words."""
+    odd = np.bincount((found & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
     values = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
@@ -133,7 +143,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def marks(df: DataFrame, text: str = "text") -> DataFrame:
     """A written table of the rows: the columns as _in_0, _in_1, … but the text, which is compressed (z); a number (_row); the
-    set's digest (_set), size (_size), fingerprint (_fp) and first shingles (_first)."""
+    set's digest (_set), size (_size), fingerprint (_fp), parity map (_m0 to _m3) and first shingles (_first)."""
     spark = df.sparkSession
     counts = spark.sparkContext.broadcast(counted(df, text))  # of fixed size
     names = [n for n in df.columns if n != text]
@@ -148,12 +158,13 @@ def marks(df: DataFrame, text: str = "text") -> DataFrame:
             "_set": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
             "_size": pa.array([len(s) for s in sets], pa.int32()),
             "_fp": pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64)),
+            **dict(zip(MAPS, map(pa.array, np.array([parity(s) for s in sets], np.int64).reshape(-1, 4).T), strict=True)),
             "_first": _lists([prefix(s, order) for s in sets]),
         }
         kept = [n for n in batch.schema.names if n != "_words"]
         return pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], *added.values()], names=[*kept, *added])
 
-    schema = T.StructType([*placed.drop("_words").schema.fields, *T.StructType.fromDDL("z binary, _set binary, _size int, _fp long, _first array<long>").fields])
+    schema = T.StructType([*placed.drop("_words").schema.fields, *T.StructType.fromDDL("z binary, _set binary, _size int, _fp long, _m0 long, _m1 long, _m2 long, _m3 long, _first array<long>").fields])
     return cut(map_arrow(placed, run, schema))
 
 
@@ -194,7 +205,7 @@ def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tokens(marked: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes by first shingles that they share with others: h, node, _size, _fp.
+    """Nodes by first shingles that they share with others: h, node.
 
     Shingles meet by order: one shuffle into ranges of (h, node), so that one shingle may lie in several tasks, and one row at
     each border of a range is settled by its neighbour. Two rows a range are collected.
@@ -213,24 +224,22 @@ def _tokens(marked: DataFrame, nodes: DataFrame) -> DataFrame:
     shared = ranged.where("edge = 0").select("h", "node")
     if added:
         shared = shared.unionByName(spark.createDataFrame(sorted(added), "h long, node long"))
-    out = cut(shared.join(nodes.select("node", "_size", "_fp"), "node"))
+    out = cut(shared)
     discard(ranged)
     return out
 
 
-def _size_close(x: str, y: str):
-    """Sets of these sizes can be similar."""
+def _with_leaders(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v), u < v, that are close, of nodes with leaders of a shingle they share: the first node, the last and two by hashes."""
+    led = tokens.groupBy("h").agg(F.array(F.min("node"), F.max("node"), F.min_by("node", F.xxhash64("node", F.lit(1))), F.min_by("node", F.xxhash64("node", F.lit(2)))).alias("leaders"))
+    pairs = tokens.join(led, "h").select("node", F.explode("leaders").alias("to")).where("node <> to").select(F.least("node", "to").alias("u"), F.greatest("node", "to").alias("v")).distinct()
+    traits = ("_size", "_fp", *MAPS)
+    side = lambda n: nodes.select(F.col("node").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in traits]).hint("merge")
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
     a, b = SIMILAR
-    return b * F.least(x, y) >= a * F.greatest(x, y)
-
-
-def _with_leaders(tokens: DataFrame) -> DataFrame:
-    """Pairs (u, v), u < v, of nodes with the first or the last node of a shingle they share, where sizes and fingerprints are close."""
-    ends = tokens.groupBy("h").agg(F.min("node").alias("first"), F.max("node").alias("last"))
-    pairs = tokens.join(ends, "h").select("node", "_size", "_fp", F.explode(F.array("first", "last")).alias("to")).where("node <> to").distinct()
-    leaders = pairs.select("to").distinct().join(tokens.select(F.col("node").alias("to"), F.col("_size").alias("_to_size"), F.col("_fp").alias("_to_fp")).distinct(), "to")
-    near = pairs.join(leaders, "to").where(_size_close("_size", "_to_size") & (F.bit_count(F.col("_fp").bitwiseXOR(F.col("_to_fp"))) <= RADIUS))
-    return near.select(F.least("node", "to").alias("u"), F.greatest("node", "to").alias("v")).distinct()
+    differ = lambda c: F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v")))
+    near = (b * F.least("_size_u", "_size_v") >= a * F.greatest("_size_u", "_size_v")) & (differ("_fp") <= RADIUS) & ((a + b) * sum(differ(c) for c in MAPS) <= (b - a) * (F.col("_size_u") + F.col("_size_v")))
+    return both.where(near).select("u", "v")
 
 
 def _listed(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -265,6 +274,9 @@ def _listed(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     node, part, size = columns["node"], columns["part"], columns["_size"].astype(np.int64)
     x, y = SIMILAR
     good = (part[left] != part[right]) & (y * np.minimum(size[left], size[right]) >= x * np.maximum(size[left], size[right]))
+    left, right = left[good], right[good]
+    differ = sum(np.bitwise_count(columns[c][left].view(np.uint64) ^ columns[c][right].view(np.uint64)).astype(np.int64) for c in MAPS)
+    good = (x + y) * differ <= (y - x) * (size[left] + size[right])
     if (columns["low"] != columns["high"]).any():  # small pieces of two tiles list pairs inside a tile too, which are harmless
         good &= node[left] != node[right]
     u, v = node[left[good]], node[right[good]]
@@ -274,7 +286,7 @@ def _listed(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of each piece of work; the input is sorted by (h, low, high). Only the last piece of a batch is held over."""
-    names = ("h", "low", "high", "tile", "node", "part", "_size", "_fp")
+    names = ("h", "low", "high", "tile", "node", "part", "_size", "_fp", *MAPS)
     held = None
     for batch in batches:
         now = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
@@ -293,15 +305,16 @@ def _pairs_batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def _left_over(tokens: DataFrame, found: DataFrame) -> DataFrame:
+def _left_over(tokens: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of nodes that share a shingle, that the links found so far leave in different parts, and that are close."""
     parts = components(found).withColumnRenamed("node", "_node")
-    now = cut(tokens.join(parts, F.col("node") == F.col("_node"), "left").select("node", "_size", "_fp", "h", F.coalesce("component", "node").alias("part")))
+    now = cut(tokens.join(parts, F.col("node") == F.col("_node"), "left").select("node", "h", F.coalesce("component", "node").alias("part")))
     still = now.groupBy("h").agg(F.min("part").alias("_a"), F.max("part").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a <> _b")
     tiles = F.ceil(F.col("_n") / TILE).cast("int")
     dealt = now.join(still.select("h", tiles.alias("_tiles")), "h").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("_tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
-    dealt = dealt.select("h", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "part", "_size", "_fp")
+    dealt = dealt.select("h", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "part")
+    dealt = dealt.join(nodes.select("node", "_size", "_fp", *MAPS).hint("merge"), "node")
     out = cut(dealt.repartition("h", "low", "high").sortWithinPartitions("h", "low", "high").mapInArrow(_pieces, "u long, v long").distinct())
     discard(now)
     return out
@@ -312,7 +325,7 @@ def _verified(pairs: DataFrame, marked: DataFrame) -> DataFrame:
     pairs = cut(pairs)
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("_row")).distinct()
     held = cut(marked.select("_row", "z").join(wanted, "_row", "left_semi"))
-    both = pairs.join(held.select(F.col("_row").alias("u"), F.col("z").alias("zu")), "u").join(held.select(F.col("_row").alias("v"), F.col("z").alias("zv")), "v")
+    both = pairs.join(held.select(F.col("_row").alias("u"), F.col("z").alias("zu")).hint("merge"), "u").join(held.select(F.col("_row").alias("v"), F.col("z").alias("zv")).hint("merge"), "v")
     x, y = SIMILAR
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -339,12 +352,12 @@ def _verified(pairs: DataFrame, marked: DataFrame) -> DataFrame:
 
 
 def links(marked: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (u, v) that connect exactly what pairs of similar nodes connect. nodes: one row (node, _size, _fp) for each distinct
-    set, by one of its rows."""
+    """Links (u, v) that connect exactly what pairs of similar nodes connect. nodes: one row (node, _size, _fp, parity map) for each
+    distinct set, by one of its rows."""
     tokens = _tokens(marked, nodes)
     release(marked.sparkSession)
-    near = _verified(_with_leaders(tokens), marked)
-    rest = _left_over(tokens, near)
+    near = _verified(_with_leaders(tokens, nodes), marked)
+    rest = _left_over(tokens, near, nodes)
     release(marked.sparkSession)
     more = _verified(rest, marked)
     out = cut(near.unionByName(more))
@@ -365,7 +378,7 @@ def drop_similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     names = df.columns
     marked = marks(df, text)
     release(df.sparkSession)
-    nodes = cut(marked.groupBy("_set").agg(F.min("_row").alias("node"), F.min("_size").alias("_size"), F.min("_fp").alias("_fp")))
+    nodes = cut(marked.groupBy("_set").agg(F.min("_row").alias("node"), *[F.min(c).alias(c) for c in ("_size", "_fp", *MAPS)]))
     found = components(links(marked, nodes)).withColumnRenamed("node", "_node")
     roots = nodes.join(found, F.col("node") == F.col("_node"), "left").select("_set", F.coalesce("component", "node").alias("_root"))
     place = f"_in_{names.index(key)}"

@@ -64,7 +64,7 @@ def test_chains_and_borders_equal_brute_force(spark, monkeypatch):
     assert 12 < len(want) < len(rows)
     assert sorted(tuple(r) for r in similar.drop_similar(df).collect()) == want
     # Pairs alone give the same, in tiles of a few nodes too.
-    monkeypatch.setattr(similar, "_with_leaders", lambda tokens: tokens.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0))
+    monkeypatch.setattr(similar, "_with_leaders", lambda tokens, nodes: tokens.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0))
     monkeypatch.setattr(similar, "TILE", 4)
     assert sorted(tuple(r) for r in similar.drop_similar(df).collect()) == want
 
@@ -88,9 +88,17 @@ def test_pieces_list_every_close_pair_of_large_groups():
     n = 300
     columns = {"h": np.repeat([1, 2, 2, 2], n), "low": np.repeat([0, 0, 0, 1], n), "high": np.repeat([0, 0, 1, 1], n), "tile": np.zeros(4 * n, np.int64)}
     columns["tile"][2 * n + n // 2 :] = 1
-    columns |= {"node": np.concatenate([np.arange(n)] * 4), "part": np.concatenate([np.arange(n)] * 4), "_size": np.full(4 * n, 100)}
+    columns |= {"node": np.concatenate([np.arange(n)] * 4), "part": np.concatenate([np.arange(n)] * 4), "_size": np.full(4 * n, 100), **{c: np.zeros(4 * n, np.int64) for c in similar.MAPS}}
     columns["_fp"] = np.array([random.getrandbits(64) for _ in range(n)] * 4, np.uint64).view(np.int64)
     u, v = similar._listed(columns)
     fp = columns["_fp"].view(np.uint64)
     near = {(a, b) for a in range(n) for b in range(a + 1, n) if (int(fp[a]) ^ int(fp[b])).bit_count() <= similar.RADIUS}
     assert set(zip(u.tolist(), v.tolist(), strict=True)) == near
+
+
+def test_parity_maps_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        a, b = (np.unique(rng.integers(0, 300, 200).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
+        differ = int(np.bitwise_count(similar.parity(a).view(np.uint64) ^ similar.parity(b).view(np.uint64)).sum())
+        assert differ <= len(np.setxor1d(a, b))
