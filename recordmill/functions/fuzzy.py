@@ -26,31 +26,37 @@ def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
-def compact(c: Column) -> Column:
+@F.pandas_udf(T.DoubleType())
+def nearest_word(words: pd.Series, term: pd.Series) -> pd.Series:
+    """The best ratio of the term to one of the words (0 of none); null for null. Each pair of texts is compared once a batch."""
+    pairs = {(w, t) for ws, t in zip(words, term, strict=True) if ws is not None for w in ws}
+    known = {pair: difflib.SequenceMatcher(None, pair[1], pair[0]).ratio() for pair in pairs}
+    return pd.Series([None if ws is None else max((known[w, t] for w in ws), default=0.0) for ws, t in zip(words, term, strict=True)], dtype="float64")
+
+
+def letters(c: Column) -> Column:
+    """Small letters and digits alone."""
     return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
 
 
 def score(terms: list[str], maker: Column, model: Column, sizes: Column | None = None) -> Column:
-    """The weakest term's match (0 to 1): 1 as a whole size token or as part of maker and model, else the best ratio to a word."""
+    """How well a record answers a search of several terms (0 to 1), which is as well as it answers the worst of them.
+
+    A term that is one of the size codes, or part of the name as a whole, is answered fully; that is decided by built-in
+    expressions. Only rows where it is neither go to Python, for the most similar word.
+    """
     wanted = [t for t in (re.sub("[^a-z0-9]", "", t.lower()) for t in terms) if t]
     if not wanted:
         return F.lit(0.0)
-
-    @F.pandas_udf(T.DoubleType())
-    def best(text: pd.Series, tokens: pd.Series) -> pd.Series:
-        known: dict[tuple[str, str], float] = {}
-
-        def one(text: str, tokens: str) -> float:
-            if (text, tokens) not in known:
-                whole = re.sub("[^a-z0-9]", "", text)
-                words = [w for w in [re.sub("[^a-z0-9]", "", w) for w in text.split()] + [whole] if w]
-                size = set(tokens.split())
-                known[text, tokens] = min(1.0 if t in size or t in whole else max((difflib.SequenceMatcher(None, t, w).ratio() for w in words), default=0.0) for t in wanted)
-            return known[text, tokens]
-
-        return pd.Series([one(t, s) for t, s in zip(text, tokens, strict=True)], dtype="float64")
-
-    return best(F.lower(F.concat_ws(" ", F.coalesce(maker, F.lit("")), F.coalesce(model, F.lit("")))), F.coalesce(sizes, F.lit("")) if sizes is not None else F.lit(""))
+    name = F.concat_ws(" ", maker, model)
+    whole = letters(name)
+    words = F.array_distinct(F.array_remove(F.array_append(F.transform(F.split(F.trim(name), r"\s+"), letters), whole), ""))
+    codes = F.split(F.coalesce(sizes, F.lit("")), r"\s+") if sizes is not None else F.array().cast("array<string>")
+    answers = []
+    for term in wanted:
+        full = F.array_contains(codes, term) | whole.contains(term)
+        answers.append(F.when(full, 1.0).otherwise(nearest_word(F.when(~full, words), F.lit(term))))
+    return answers[0] if len(answers) == 1 else F.least(*answers)
 
 
 def closest(c: Column, choices: list[str], cutoff: float = 0.6) -> Column:
@@ -59,6 +65,7 @@ def closest(c: Column, choices: list[str], cutoff: float = 0.6) -> Column:
 
     @F.pandas_udf(T.StringType())
     def find(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: next(iter(difflib.get_close_matches(t, ordered, n=1, cutoff=cutoff)), None) if t is not None else None)
+        found = {t: next(iter(difflib.get_close_matches(t, ordered, n=1, cutoff=cutoff)), None) for t in text.dropna().unique()}
+        return text.map(found)
 
     return find(c)

@@ -1,7 +1,7 @@
 """Optional predicates of a record query. Each takes a column and an argument; an argument of None is no condition.
 
-All are built-in expressions, so that they reach the scan. NaN: a value that is not a number passes a range, as a comparison
-that is never false would let it.
+Equality, lists and ranges are plain comparisons beside a test for null, so that they reach the scan; those that ignore case
+can't. NaN: a value that is not a number passes a range, as a comparison that is never false would let it.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ def always() -> Column:
 
 def equals(c: Column, value) -> Column:
     """Exact, case-sensitive."""
-    return always() if value is None else F.coalesce(c == F.lit(value), F.lit(False))
+    return always() if value is None else c.isNotNull() & (c == F.lit(value))
 
 
 def equals_text(c: Column, value: str | None) -> Column:
@@ -60,13 +60,16 @@ def resembles(c: Column, value: str | None, threshold: float = 0.8) -> Column:
     return contains_either_way(c, value) | F.coalesce(scored >= threshold, F.lit(False))
 
 
-def in_range(c: Column, low: float | None = None, high: float | None = None) -> Column:
-    """Inclusive; null fails if there is a bound."""
-    out = always()
+def in_range(c: Column, low: float | None = None, high: float | None = None, nan: bool = True) -> Column:
+    """Inclusive; null fails if there is a bound. nan=False is for columns that can't hold NaN (or where it should fail): an
+    upper bound then reaches the scan too. A lower bound always does, as NaN counts as larger than any number."""
+    if low is None and high is None:
+        return always()
+    out = c.isNotNull()
     if low is not None:
-        out = out & F.coalesce(F.isnan(c.cast("double")) | (c >= low), F.lit(False))
+        out = out & (c >= low)
     if high is not None:
-        out = out & F.coalesce(F.isnan(c.cast("double")) | (c <= high), F.lit(False))
+        out = out & ((c <= high) | F.isnan(c.cast("double")) if nan else c <= high)
     return out
 
 
@@ -129,7 +132,7 @@ def serial_matches(c: Column, token: str | Column) -> Column:
 
 
 def one_of(c: Column, values: Sequence | None) -> Column:
-    return always() if values is None else F.coalesce(c.isin(list(values)), F.lit(False))
+    return always() if values is None else c.isNotNull() & c.isin(list(values))
 
 
 def batch_or_serials(batch: Column, serial: Column, batch_id: str | None, serials: Sequence[str] | None) -> Column:

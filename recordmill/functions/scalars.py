@@ -48,6 +48,12 @@ def year_of(seconds: Column) -> Column:
 
 # Names
 
+def resolved_time(c: Column, default: Column) -> Column:
+    """struct<seconds, problem>: nothing given takes the default; what can't be read is a problem, not a null."""
+    given, read = F.nullif(F.trim(c.cast("string")), F.lit("")), unix_time(c)
+    return F.struct(F.when(given.isNull(), default.cast("long")).otherwise(read).alias("seconds"), F.when(given.isNotNull() & read.isNull(), "unparsable time").alias("problem"))
+
+
 def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
@@ -67,11 +73,14 @@ def extracted(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 def batch_key(c: Column) -> Column:
-    """A cycler file's batch: the organisation in capitals, the rest in small letters, without server address and channel."""
-    clean = F.regexp_extract(c, r"^(.*?)(?:_\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}-.*)?$", 1)
-    org = F.upper(F.regexp_extract(clean, "^([A-Za-z][A-Za-z0-9]*)", 1))
-    rest = F.lower(F.regexp_replace(clean, "^[A-Za-z0-9]+_+", ""))
-    return F.when(org != "", F.concat(org, F.lit("__"), rest)).otherwise(rest)
+    """A cycler file's batch: the organisation (up to the first underscore) in capitals, the rest in small letters, without the
+    server's address and channel, which are the last part if that begins with four numbers between dots."""
+    parts = F.split(c, "_")
+    address = F.split(F.substring_index(F.element_at(parts, -1), "-", 1), r"\.")
+    served = (F.size(address) == 4) & F.forall(address, lambda x: x.rlike(r"^\d{1,3}$")) & F.element_at(parts, -1).contains("-")
+    kept = F.filter(F.when(served, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts), lambda x: x != "")
+    rest = F.lower(F.array_join(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), "_"))
+    return F.concat(F.upper(F.element_at(kept, 1)), F.lit("__"), rest)
 
 
 def label_of(c: Column) -> Column:
@@ -128,6 +137,11 @@ def fraction(value: Column, unit: Column) -> Column:
     return F.when(unit == "%", F.round(value.try_cast("double") / 100, 6)).otherwise(value.try_cast("double"))
 
 
+def fraction_with_spread(value: Column, std_dev: Column, unit: Column) -> Column:
+    """struct<value, std_dev>: both rescaled together."""
+    return F.struct(fraction(value, unit).alias("value"), fraction(std_dev, unit).alias("std_dev"))
+
+
 def normalised_unit(*candidates: Column) -> Column:
     """The first unit given, in small letters without spaces."""
     token = F.coalesce(*[F.nullif(F.lower(F.trim(c)), F.lit("")) for c in candidates])
@@ -182,12 +196,13 @@ def licence(c: Column, known: list[str]) -> Column:
 
 
 #: Hex digits of each checksum.
-CHECKSUM_DIGITS = {"md5": 32, "sha1": 40, "sha256": 64, "sha512": 128}
+CHECKSUM_DIGITS = {"md5": 32, "sha256": 64, "sha512": 128}
 
 
 def checksum_ok(algorithm: Column, value: Column) -> Column:
+    """Whether the text has the shape of the algorithm's checksums; algorithms that are not known are let pass."""
     digits = mapped(F.replace(F.lower(algorithm), F.lit("-"), F.lit("")), CHECKSUM_DIGITS)
-    return F.coalesce(value.rlike("^[0-9a-fA-F]+$") & (F.length(value) == digits), F.lit(False))
+    return digits.isNull() | F.coalesce(value.rlike("^[0-9a-fA-F]+$") & (F.length(value) == digits), F.lit(False))
 
 
 def expanded_iri(c: Column, prefixes: Mapping[str, str]) -> Column:
@@ -199,7 +214,7 @@ def expanded_iri(c: Column, prefixes: Mapping[str, str]) -> Column:
 def compacted_iri(c: Column, prefixes: Mapping[str, str]) -> Column:
     out = c
     for prefix, base in prefixes.items():
-        out = F.when(c.startswith(base), F.concat(F.lit(f"{prefix}:"), F.substring(c, len(base) + 1, 10_000))).otherwise(out)
+        out = F.when(c.startswith(base), F.concat(F.lit(f"{prefix}:"), F.substr(c, F.lit(len(base) + 1)))).otherwise(out)
     return out
 
 
@@ -212,13 +227,19 @@ def joined(*parts: Column, default: str) -> Column:
     return F.coalesce(F.nullif(F.concat_ws(" | ", *parts), F.lit("")), F.lit(default))
 
 
+#: Salts that a text of an electrolyte may name.
+SALTS = ("LiPF6", "LiTFSI", "LiFSI", "LiBF4", "LiClO4", "LiBOB")
+
+
 def electrolyte(c: Column) -> Column:
     """struct<concentration, salt, solvents: array<struct<name, fraction>>> of a text like `1M LiPF6 EC:EMC=3:7`.
 
     Fractions only where there is one for each solvent; a solvent named twice is one, its known fractions summed.
     """
-    names = F.split(extracted(c, r"\b([A-Z]{2,4}(?::[A-Z]{2,4})+)"), ":")
-    ratios = F.transform(F.split(extracted(c, r"\b[A-Z]{2,4}(?::[A-Z]{2,4})+\s*=?\s*(\d+(?:\.\d+)?(?::\d+(?:\.\d+)?)+)"), ":"), lambda x: x.cast("double"))
+    words = F.split(F.trim(F.regexp_replace(c, r"\s*=\s*", "=")), r"\s+")
+    listed = F.try_element_at(F.filter(words, lambda w: F.split(w, "=")[0].contains(":") & F.forall(F.split(F.split(w, "=")[0], ":"), lambda n: n.rlike("^[A-Z]{2,4}$"))), F.lit(1))
+    names = F.split(F.split(listed, "=")[0], ":")
+    ratios = F.transform(F.split(F.try_element_at(F.split(listed, "="), F.lit(2)), ":"), lambda x: F.regexp_substr(x, F.lit(r"^\d+(\.\d+)?")).try_cast("double"))
     total = F.aggregate(ratios, F.lit(0.0), lambda a, x: a + x)
     usable = F.coalesce((F.size(ratios) == F.size(names)) & (total > 0), F.lit(False))
     shares = F.when(usable, F.transform(ratios, lambda x: F.round(x / total, 4))).otherwise(F.transform(names, lambda _: F.lit(None).cast("double")))
@@ -231,6 +252,7 @@ def electrolyte(c: Column) -> Column:
             F.aggregate(F.filter(pairs, lambda p: p["name"] == n), F.lit(None).cast("double"), lambda a, p: F.coalesce(F.round(a + p["fraction"], 4), a, p["fraction"])).alias("fraction"),
         ),
     )
-    return F.struct(
-        extracted(c, r"([\d.]+)\s*M\b").try_cast("double").alias("concentration"), extracted(c, r"(?i)\b(LiPF6|LiTFSI|LiFSI|LiBF4|LiClO4|LiBOB)\b").alias("salt"), merged.alias("solvents")
-    )
+    molar = F.regexp_replace(c, r"(\d)\s*M(\s|$)", "$1M ")
+    strength = F.try_element_at(F.filter(F.split(molar, r"\s+"), lambda w: w.rlike(r"^[\d.]+M$")), F.lit(1))
+    known = F.filter(F.split(c, r"[\s,;]+"), lambda w: mapped(F.lower(w), {x.lower(): x for x in SALTS}).isNotNull())
+    return F.struct(F.rtrim(strength, F.lit("M")).try_cast("double").alias("concentration"), mapped(F.lower(F.try_element_at(known, F.lit(1))), {x.lower(): x for x in SALTS}).alias("salt"), merged.alias("solvents"))

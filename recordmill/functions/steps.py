@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import extracted, mapped
+from .scalars import mapped
 
 #: Unit -> quantity, canonical unit, factor.
 UNITS = {
@@ -14,10 +14,11 @@ UNITS = {
 }
 #: Time unit -> seconds.
 SECONDS = {"s": 1.0, "sec": 1.0, "second": 1.0, "seconds": 1.0, "m": 60.0, "min": 60.0, "minute": 60.0, "minutes": 60.0, "h": 3600.0, "hr": 3600.0, "hour": 3600.0, "hours": 3600.0}
-#: Operation and quantity -> control mode.
+#: The control mode of an operation at a value of some quantity.
 MODES = {
-    "charge current": "cc", "charge c_rate": "cc", "charge power": "cp", "charge resistance": "cr", "discharge current": "cc", "discharge c_rate": "cc", "discharge power": "cp",
-    "discharge resistance": "cr", "hold voltage": "cv",
+    "charge": {"current": "cc", "c_rate": "cc", "power": "cp", "resistance": "cr", "voltage": "cv"},
+    "discharge": {"current": "cc", "c_rate": "cc", "power": "cp", "resistance": "cr", "voltage": "cv"},
+    "hold": {"voltage": "cv"},
 }
 CONTROLLED = {"cc": "current", "cv": "voltage", "cccv": "current", "cp": "power", "cr": "resistance"}
 
@@ -27,55 +28,61 @@ def let(c: Column, body) -> Column:
     return F.element_at(F.transform(F.array(c), lambda x: body(x)), 1)
 
 
-def quantity(token: Column) -> Column:
+def amount(written: Column) -> Column:
+    """struct<number, unit> of a number written before its unit, with or without a space; in small letters."""
+    dense = F.replace(F.lower(written), F.lit(" "), F.lit(""))
+    digits = F.regexp_substr(dense, F.lit(r"^[0-9.]+"))
+    return F.struct(digits.try_cast("double").alias("number"), F.substr(dense, F.length(digits) + 1).alias("unit"))
+
+
+def quantity(written: Column) -> Column:
     """struct<kind, value, unit> of `C/10`, `1C`, `200 mA`, `4.1 V`; null where it is none."""
     made = lambda k, v, u: F.struct(k.alias("kind"), v.alias("value"), u.alias("unit"))
 
-    def of(t: Column) -> Column:
-        divisor = extracted(t, r"(?i)^[cd]\s*/\s*([\d.]+)$").try_cast("double")
-        number = extracted(t, r"(?i)^([\d.]+)\s*[a-zΩω]+$").try_cast("double")
-        unit = F.lower(extracted(t, r"(?i)^[\d.]+\s*([a-zΩω]+)$"))
-        kind, canonical = mapped(unit, {u: k for u, (k, _, _) in UNITS.items()}), mapped(unit, {u: c for u, (_, c, _) in UNITS.items()})
-        value = number * mapped(unit, {u: f for u, (_, _, f) in UNITS.items()})
-        return F.when(divisor != 0, made(F.lit("c_rate"), 1 / divisor, F.lit("A/Ah"))).when(kind.isNotNull() & value.isNotNull(), made(kind, value, canonical))
+    def of(p: Column) -> Column:
+        head, a = F.replace(F.element_at(p["sides"], 1), F.lit(" "), F.lit("")), p["whole"]
+        divisor = F.when((F.size(p["sides"]) == 2) & head.isin("c", "d"), F.trim(F.element_at(p["sides"], -1)).try_cast("double"))
+        kind, canonical, factor = (mapped(a["unit"], {u: row[i] for u, row in UNITS.items()}) for i in range(3))
+        return F.when(divisor != 0, made(F.lit("c_rate"), 1 / divisor, F.lit("A/Ah"))).when(kind.isNotNull() & a["number"].isNotNull(), made(kind, a["number"] * factor, canonical))
 
-    return let(F.trim(token), of)
+    return let(F.struct(F.split(F.trim(F.lower(written)), "/").alias("sides"), amount(written).alias("whole")), of)
 
 
-def seconds(token: Column) -> Column:
-    t = F.trim(token)
-    return extracted(t, r"(?i)^([\d.]+)\s*[a-z]+$").try_cast("double") * mapped(F.lower(extracted(t, r"(?i)^[\d.]+\s*([a-z]+)$")), SECONDS)
+def seconds(written: Column) -> Column:
+    return let(amount(written), lambda a: a["number"] * mapped(a["unit"], SECONDS))
 
 
 def step(c: Column) -> Column:
-    """struct<mode, direction, setpoint, duration_s, termination: array, problem>; problem says why a text is no step."""
-    boundary = r"(?is)^(.*?)(?:\s+((?:for|until|or)\s+.*))?$"
-
-    def words(raw: Column) -> Column:
-        op = F.lower(extracted(raw, r"(?i)^(charge|discharge|hold|rest)\b"))
-        rest = F.trim(F.regexp_replace(raw, r"(?i)^(charge|discharge|hold|rest)\b", ""))
-        return F.struct(op.alias("op"), rest.alias("rest"), F.regexp_replace(rest, r"(?i)^at\s+", "").alias("after"))
-
-    def parts(w: Column) -> Column:
-        resting = w["op"] == "rest"
-        tail = F.when(resting, w["rest"]).otherwise(F.regexp_extract(w["after"], boundary, 2))
-        clauses = F.transform(F.split(F.trim(F.regexp_replace(tail, r"(?i)^or\s+", "")), r"(?i)\s+or\s+"), lambda x: F.trim(x))
+    """struct<mode, direction, setpoint, duration_s, termination: array, problem>; problem says why a text is no step.
+
+    The text is cut before its words `for`, `until` and `or`. The first piece is the operation and, after `at`, its value; each
+    piece after it is a duration or an end.
+    """
+    word = lambda w: F.when(w.isin("for", "until"), F.concat(F.lit("\n"), w)).when(w == "or", "\n").otherwise(w)
+    pieces = F.filter(F.transform(F.split(F.array_join(F.transform(F.split(F.trim(F.lower(c)), r"\s+"), word), " "), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+    def read(p: Column) -> Column:
+        first = F.split(F.try_element_at(p, F.lit(1)), " ")
+        op = F.when(first[0].isin("charge", "discharge", "hold", "rest"), first[0])
+        given = F.array_join(F.slice(first, 3, F.greatest(F.size(first) - 2, F.lit(0))), " ")
+        clauses = F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0)))
+        after = lambda w: F.transform(F.filter(clauses, lambda x: x.startswith(w)), lambda x: F.substr(x, F.lit(len(w) + 1)))
+        lasting, ending = after("for "), after("until ")
+        resting = op == "rest"
         return F.struct(
-            w["op"].alias("op"), (resting | w["rest"].rlike(r"(?i)^at\s+")).alias("valued"), F.when(~resting, quantity(F.regexp_extract(w["after"], boundary, 1))).alias("setpoint"),
-            F.filter(clauses, lambda x: x != "").alias("clauses"),
+            op.alias("op"), (resting | F.coalesce(F.try_element_at(first, F.lit(2)) == "at", F.lit(False))).alias("valued"), F.when(~resting, quantity(given)).alias("setpoint"),
+            lasting.alias("lasting"), ending.alias("ending"), ((F.size(lasting) + F.size(ending) < F.size(clauses)) | resting & (F.size(first) > 1)).alias("odd"),
         )
 
-    def read(p: Column) -> Column:
-        direction = F.when(p["op"] == "hold", "hold").otherwise(p["op"])
+    def judged(r: Column) -> Column:
         end = lambda q: F.struct(
-            q["kind"].alias("quantity"), q["value"].alias("value"), q["unit"].alias("unit"), F.when((q["kind"] == "voltage") & (p["op"] == "charge"), "above").otherwise("below").alias("direction")
+            q["kind"].alias("quantity"), q["value"].alias("value"), q["unit"].alias("unit"), F.when((q["kind"] == "voltage") & (r["op"] == "charge"), "above").otherwise("below").alias("direction")
         )
-        lasting = F.filter(p["clauses"], lambda x: F.lower(x).startswith("for "))
-        ending = F.filter(p["clauses"], lambda x: F.lower(x).startswith("until "))
+        modes = {f"{op} {kind}": mode for op, kinds in MODES.items() for kind, mode in kinds.items()}
         return F.struct(
-            p["op"].alias("op"), p["valued"].alias("valued"), F.when(p["op"] == "rest", "rest").otherwise(mapped(F.concat_ws(" ", p["op"], p["setpoint"]["kind"]), MODES)).alias("mode"), direction.alias("direction"),
-            p["setpoint"].alias("setpoint"), seconds(F.substring(F.try_element_at(lasting, F.lit(-1)), 5, 1000)).alias("duration_s"), (F.size(lasting) > 0).alias("lasts"),
-            F.transform(ending, lambda x: let(quantity(F.substring(x, 7, 1000)), end)).alias("termination"), (F.size(p["clauses"]) > F.size(lasting) + F.size(ending)).alias("odd"),
+            r["op"].alias("op"), r["valued"].alias("valued"), r["odd"].alias("odd"), F.when(r["op"] == "rest", "rest").otherwise(mapped(F.concat_ws(" ", r["op"], r["setpoint"]["kind"]), modes)).alias("mode"),
+            r["op"].alias("direction"), r["setpoint"].alias("setpoint"), seconds(F.try_element_at(r["lasting"], F.lit(-1))).alias("duration_s"), (F.size(r["lasting"]) > 0).alias("lasts"),
+            F.transform(r["ending"], lambda x: let(quantity(x), end)).alias("termination"),
         )
 
     def checked(r: Column) -> Column:
@@ -86,7 +93,7 @@ def step(c: Column) -> Column:
         )
         return F.struct(*[r[n].alias(n) for n in ("mode", "direction", "setpoint", "duration_s", "termination")], problem.alias("problem"))
 
-    return let(let(let(let(F.trim(c), words), parts), read), checked)
+    return let(let(let(pieces, read), judged), checked)
 
 
 def number_text(c: Column) -> Column:

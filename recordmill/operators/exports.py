@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from ..functions.scalars import mapped
 
 #: Size codes that mean the same.
 SIZE_GROUPS = (
-    ("r03", "lr03", "fr03", "aaa"), ("r6", "lr6", "fr6", "aa", "doublea"), ("r14", "lr14", "c"), ("r20", "lr20", "d"), ("lr1", "r1", "n"), ("6lr61", "6f22", "9v"), ("18650",), ("21700",), ("26650",), ("14500",),
+    ("r03", "lr03", "fr03", "aaa", "triplea"), ("r6", "lr6", "fr6", "aa", "doublea"), ("r14", "lr14", "c"), ("r20", "lr20", "d"), ("lr1", "r1", "n"), ("6lr61", "6f22", "9v"), ("18650",), ("21700",), ("26650",), ("14500",),
     ("4680",), ("cr2032",), ("cr2016",), ("cr2025",),
 )
 
@@ -23,6 +24,31 @@ def size_aliases(c: Column) -> Column:
     return mapped(key, {code: " ".join(group) for group in SIZE_GROUPS for code in group}, key)
 
 
+def without_volatile(c: Column, keys: Sequence[str]) -> Column:
+    """A JSON text without some keys at any depth, keys in order; null for what is no JSON. Documents have any shape and depth,
+    which built-in expressions can't follow, hence Arrow batches."""
+    import json
+
+    gone = frozenset(keys)
+
+    def strip(node):
+        if isinstance(node, dict):
+            return {k: strip(v) for k, v in node.items() if k not in gone}
+        return [strip(v) for v in node] if isinstance(node, list) else node
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                return json.dumps(strip(json.loads(text)), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+            except (TypeError, ValueError):
+                return None
+
+        return texts.map(one)
+
+    return run(c)
+
+
 def stamped(df: DataFrame, stamp: Mapping[str, str]) -> DataFrame:
     """Contributor, funding, licence and the like where a record has none of its own."""
     return df.withColumns({k: F.coalesce(F.col(k), F.lit(v)) if k in df.columns else F.lit(v) for k, v in stamp.items()})

@@ -99,3 +99,14 @@ def key_index(df: DataFrame, id_column: str, keys: Sequence[Column]) -> DataFram
     """Every key that names a row, with its row if there is just one: key, n_ids, id (null: ambiguous)."""
     exploded = df.select(F.col(id_column).alias("_id"), F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
     return exploded.groupBy("key").agg(F.countDistinct("_id").alias("n_ids"), F.min("_id").alias("_first")).select("key", "n_ids", F.when(F.col("n_ids") == 1, F.col("_first")).alias("id"))
+
+
+def merged_first(existing: DataFrame, added: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Existing entries stay as they are; of the added ones the first of each key that none of them has."""
+    both = existing.withColumn("_rank", F.lit(0)).unionByName(added.withColumn("_rank", F.lit(1)))
+    return first_wins(both, key, [F.col("_rank"), *order]).drop("_rank")
+
+
+def first_usable(df: DataFrame, usable: Column, order: Sequence[Column], limit: int) -> DataFrame:
+    """The first rows that can be imported: the limit counts those, not the rows read."""
+    return page(df.where(usable), order, limit)

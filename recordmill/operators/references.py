@@ -58,3 +58,27 @@ def resolve(df: DataFrame, column: str, aliases: DataFrame, name: str = "resolve
 def outside_bounds(values: DataFrame, bounds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Values outside [low, high] of their keys (property, unit)."""
     return values.join(sized(bounds), list(keys)).where("value < low or value > high")
+
+
+def holder_to_key(df: DataFrame, holder: str, entries: DataFrame, name: str, key: str, out: str) -> DataFrame:
+    """An embedded holder replaced by the key of the record of that name (ignoring case and outer spaces; null if there is none)."""
+    known = entries.groupBy(F.lower(F.trim(name)).alias("_name")).agg(F.min(key).alias(out))
+    return df.join(known, F.lower(F.trim(F.col(holder))) == F.col("_name"), "left").drop("_name", holder)
+
+
+def inverse(entries: DataFrame, key: str, value: str) -> DataFrame:
+    """value -> key of a vocabulary read backwards; values of several keys name none of them: value, key, ambiguous."""
+    return entries.where(F.col(value).isNotNull()).groupBy(value).agg(F.countDistinct(key).alias("_n"), F.min(key).alias("_key")).select(value, F.when(F.col("_n") == 1, F.col("_key")).alias(key), (F.col("_n") > 1).alias("ambiguous"))
+
+
+def matched_files(files: DataFrame, path: str, cells: DataFrame, cell: str, short: str, serial: str) -> DataFrame:
+    """Files with the cell that their name tells: by the short id in the stem first, else by a word of it that is a serial; null if
+    neither is known. Two joins on equal keys."""
+    from ..functions.predicates import short_id
+
+    stem = F.regexp_replace(F.element_at(F.split(F.lower(path), "/"), -1), r"\.[^.]*$", "")
+    by_short = cells.groupBy(F.lower(short).alias("_s")).agg(F.min(cell).alias("_by_short"))
+    by_serial = cells.groupBy(F.lower(serial).alias("_w")).agg(F.min(cell).alias("_by_serial"))
+    named = files.select(path, stem.alias("_stem")).distinct().withColumn("_id", short_id(F.col("_stem")))
+    words = named.select(path, F.explode(F.split("_stem", r"[_\s]+")).alias("_w")).join(by_serial, "_w").groupBy(path).agg(F.min("_by_serial").alias("_by_serial"))
+    return named.join(by_short, F.col("_id") == F.col("_s"), "left").join(words, path, "left").select(path, F.coalesce("_by_short", "_by_serial").alias(cell))

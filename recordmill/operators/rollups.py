@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def kind_index(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -64,11 +65,13 @@ def sided_completeness(have: DataFrame, group: str, scope: str, item: str, tiers
     return out.select(group, "tier", (F.size("gaps") == 0).alias("satisfied"), F.map_from_entries("gaps").alias("missing"))
 
 
-def facet_rollup(df: DataFrame, key: str, position: Column, modes: Column, values: Column, flags: Mapping[str, Column]) -> DataFrame:
-    """Facets by key: distinct modes in order of first appearance, distinct sorted values, window of values, any-flags."""
-    firsts = df.groupBy(key, modes.alias("_m")).agg(F.min(position).alias("_p")).groupBy(key).agg(ordered_list(F.col("_m"), F.col("_p"), F.col("_m")).alias("modes"))
-    rest = df.groupBy(key).agg(F.array_sort(F.collect_set(values)).alias("distinct_values"), F.min(values).alias("low"), F.max(values).alias("high"), *[F.bool_or(c).alias(n) for n, c in flags.items()])
-    return firsts.join(rest, key)
+def facet_rollup(df: DataFrame, key: str, position: Column, modes: Column, values: Column, flags: Mapping[str, Column], listed: Column | None = None) -> DataFrame:
+    """Facets by key, in one aggregation: distinct modes in order of first appearance, distinct sorted values (or of `listed`),
+    the window of values, any-flags."""
+    return df.groupBy(key).agg(
+        F.array_distinct(ordered_list(modes, position, modes)).alias("modes"), F.array_sort(F.collect_set(values if listed is None else listed)).alias("distinct_values"),
+        F.min(values).alias("low"), F.max(values).alias("high"), *[F.bool_or(c).alias(n) for n, c in flags.items()],
+    )
 
 
 def status_pivot(df: DataFrame, group: str, status: str, values: Sequence[str]) -> DataFrame:
@@ -98,5 +101,29 @@ def conformance(declared: DataFrame, derived: DataFrame, key: str, fields: Seque
     """Fields in which a declared row differs from the derived one (null-safe): key, diverging."""
     a = declared.select(F.col(key).alias("_k"), *[F.col(f).alias(f"_a_{f}") for f in fields])
     b = derived.select(F.col(key), *[F.col(f).alias(f"_b_{f}") for f in fields])
-    differs = lambda f: ~F.when(F.lit(tolerance > 0) & F.col(f"_a_{f}").isNotNull() & F.col(f"_b_{f}").isNotNull(), F.abs(F.col(f"_a_{f}") - F.col(f"_b_{f}")) <= tolerance).otherwise(F.col(f"_a_{f}").eqNullSafe(F.col(f"_b_{f}")))
+    numbers = {f for f in fields if isinstance(declared.schema[f].dataType, T.NumericType) and isinstance(derived.schema[f].dataType, T.NumericType)}
+
+    def differs(f: str) -> Column:
+        same = F.col(f"_a_{f}").eqNullSafe(F.col(f"_b_{f}"))
+        return ~(same | F.coalesce(F.abs(F.col(f"_a_{f}") - F.col(f"_b_{f}")) <= tolerance, F.lit(False)) if tolerance > 0 and f in numbers else same)
+
     return a.join(b, F.col("_k") == F.col(key)).select(key, F.array_compact(F.array(*[F.when(differs(f), F.lit(f)) for f in fields])).alias("diverging")).where(F.size("diverging") > 0)
+
+
+def outcomes(df: DataFrame, kind: str, failed: Column) -> DataFrame:
+    """Rows and failures of each kind and in total."""
+    counts = df.groupBy(F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("n_failed"))
+    return counts.unionByName(counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_failed"), F.lit(0)).alias("n_failed")).select(F.lit("total").alias("kind"), "n", "n_failed"))
+
+
+def next_step(steps: Sequence[tuple[Column, str]], default: str) -> Column:
+    """The name of the first condition that holds."""
+    out = F.lit(default)
+    for condition, name in reversed(steps):
+        out = F.when(condition, name).otherwise(out)
+    return out
+
+
+def recovery(found: Column, wanted: Column) -> Column:
+    """How much of what a source holds was recovered: full, partial, none."""
+    return F.when(found <= 0, "none").when(found < wanted, "partial").otherwise("full")

@@ -21,10 +21,10 @@ class Rule:
 
 #: What each policy makes of the issues of a validator (error, warn, off).
 POLICIES = {
-    "strict": {"schema": "error", "references": "error", "semantic": "error", "publication": "off"},
-    "ingest": {"schema": "error", "references": "warn", "semantic": "warn", "publication": "off"},
-    "draft": {"schema": "warn", "references": "off", "semantic": "warn", "publication": "off"},
+    "default": {"schema": "error", "references": "error", "semantic": "warn", "publication": "error"},
+    "strict": {"schema": "error", "references": "error", "semantic": "error", "publication": "error"},
     "publisher": {"schema": "error", "references": "error", "semantic": "error", "publication": "error"},
+    "ingest": {"schema": "error", "references": "warn", "semantic": "warn", "publication": "error"},
 }
 
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.scalars import mapped
 from .rules import Rule
 
 #: Formats and what they look like; a date-time has a zone.
@@ -51,29 +52,43 @@ def unknown_fields(schema: Mapping, columns: list[str]) -> list[str]:
 
 # Rules of single kinds
 
-#: The letters that a size code of a format begins with.
-SIZE_PREFIXES = {"coin": ("CR", "LR", "SR", "BR", "PR"), "cylindrical": ("R", "LR", "FR", "CR", "ICR", "IMR", "INR", "IFR")}
+#: What a size code looks like, and the letter that it begins with by the cell's format.
+SIZE_CODE = r"^[RP][A-Za-z0-9]+(?:[/-][A-Za-z0-9]+)*$"
+SIZE_LETTERS = {"coin": "R", "cylindrical": "R", "pouch": "P", "prismatic": "P"}
+#: Configurations whose electrodes have roles and no polarity.
+ROLE_CONFIGURATIONS = ("half_cell", "half-cell", "three_electrode_cell", "three-electrode-cell", "three-electrode")
 
 
-def size_code_rules(code: Column, form: Column) -> list[Rule]:
-    invalid = code.isNotNull() & ~F.upper(code).rlike(r"^[A-Z]{0,4}\d{1,6}[A-Z0-9/-]*$")
-    head = F.regexp_extract(F.upper(code), "^([A-Z]*)", 1)
-    wrong = F.lit(False)
-    for name, prefixes in SIZE_PREFIXES.items():
-        wrong = wrong | ((F.lower(form) == name) & (head != "") & ~head.isin(*prefixes))
-    return [Rule("size_code_invalid", "warning", "size_code", invalid, "not a size code"), Rule("size_code_prefix_mismatch", "warning", "size_code", ~invalid & wrong, "not of this format")]
+def size_code_rules(code: Column, form: Column, severity: str = "warning") -> list[Rule]:
+    """A size code has the right look, and the right letter for its format; a blank one is none."""
+    given = F.nullif(F.trim(code), F.lit(""))
+    invalid = ~given.rlike(SIZE_CODE)
+    wrong = F.left(given, F.lit(1)) != mapped(F.lower(F.trim(form)), SIZE_LETTERS)
+    return [Rule("size_code_invalid", severity, "product.size_code", invalid, "must start with R or P"), Rule("size_code_prefix_mismatch", severity, "product.size_code", ~invalid & wrong, "another letter than the format's")]
 
 
-def electrode_rules(polarity: Column, role: Column, mixed: Column) -> list[Rule]:
+def electrode_rules(configuration: Column, by_polarity: Column, by_role: Column, has_reference: Column) -> list[Rule]:
+    """Electrodes are named by role in cells without polarity and by polarity in all others; never an error. by_polarity and
+    by_role: whether holders of either kind are filled. An unstated configuration with a reference electrode is a half cell."""
+    stated = F.lower(F.trim(configuration))
+    roles_wanted = F.coalesce(stated.isin(*ROLE_CONFIGURATIONS), F.coalesce(has_reference, F.lit(False)))
+    both = by_polarity & by_role
     return [
-        Rule("electrode_holders_mixed", "error", "electrodes", mixed, "named by role and by polarity"),
-        Rule("electrode_polarity_expected", "error", "polarity", role.isin("positive", "negative") & ~F.coalesce(polarity == role, F.lit(False)), "polarity is not the holder's"),
-        Rule("electrode_role_expected", "error", "role", role.isin("working", "counter") & polarity.isNull(), "a role without polarity"),
+        Rule("electrode_holders_mixed", "warning", "electrodes", both, "named by polarity and by role"),
+        Rule("electrode_role_expected", "warning", "electrodes", ~both & by_polarity & roles_wanted, "this cell has no polarity"),
+        Rule("electrode_polarity_expected", "warning", "electrodes", ~both & by_role & ~roles_wanted, "a full cell has a polarity"),
     ]
 
 
-def kind_rules(kind: Column, known: list[str], path: str) -> list[Rule]:
-    return [Rule(f"{path}_kind_missing", "warning", f"{path}.kind", F.trim(F.coalesce(kind, F.lit(""))) == "", "no kind"), Rule(f"{path}_kind_unknown", "warning", f"{path}.kind", (F.trim(kind) != "") & ~F.lower(F.trim(kind)).isin(*known), "not in the vocabulary")]
+def kind_rules(kind: Column, known: list[str], path: str, severity: str = "warning") -> list[Rule]:
+    """A kind that the vocabulary lacks is always an error; a missing one is as severe as the policy says."""
+    given = F.nullif(F.lower(F.trim(kind)), F.lit(""))
+    return [Rule(f"{path}_kind_missing", severity, f"{path}_spec.kind", given.isNull(), "no kind"), Rule(f"{path}_kind_unknown", "error", f"{path}_spec.kind", ~given.isin(*[k.lower() for k in known]), "not in the vocabulary")]
+
+
+def cell_link_rule(cells: Column, is_series: Column) -> Rule:
+    """A dataset names its cell, unless it is a series."""
+    return Rule("dataset_missing_cell_link", "warning", "dataset.about", ~F.coalesce(is_series, F.lit(False)) & (F.coalesce(F.size(cells), F.lit(0)) <= 0), "no cell")
 
 
 def time_order_rule(path: str, *times: Column) -> Rule:

@@ -23,10 +23,11 @@ def first_last(df: DataFrame, by: str, value: str, order: Sequence[str]) -> Data
 
 
 def downsample(df: DataFrame, by: str, order: Sequence[str], most: int) -> DataFrame:
-    """Every k-th row of each series from its first on, k = n div most + 1."""
+    """Every k-th row of each series from its first on, k = n div most + 1; a series of no more than `most` rows stays whole."""
     inside = W.partitionBy(by)
     place = F.row_number().over(inside.orderBy(*order)) - 1
-    step = F.floor(F.count(F.lit(1)).over(inside) / most) + 1
+    rows = F.count(F.lit(1)).over(inside)
+    step = F.when(rows > most, F.floor(rows / most) + 1).otherwise(1)
     return df.withColumn("_place", place).withColumn("_step", step).where(F.col("_place") % F.col("_step") == 0).drop("_place", "_step")
 
 

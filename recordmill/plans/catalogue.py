@@ -52,7 +52,7 @@ def text_list(c) -> F.Column:
 @query("""select p_partkey, p_name, p_brand, p_size from part
 where lower(p_name) like '%ring%' and p_size between 5 and 45 and lower(p_type) = 'small' order by p_partkey offset 1 limit 20""")
 def op_query_specs(t):
-    conditions = P.every(P.contains_text(F.col("p_name"), "RING"), P.in_range(F.col("p_size"), 5, 45), P.equals_text(F.col("p_type"), "Small"))
+    conditions = P.every(P.contains_text(F.col("p_name"), "RING"), P.in_range(F.col("p_size"), 5, 45, nan=False), P.equals_text(F.col("p_type"), "Small"))
     return records.page(t.part.where(conditions).select("p_partkey", "p_name", "p_brand", "p_size"), [F.col("p_partkey")], 20, 1)
 
 
@@ -111,8 +111,8 @@ def op_coalesce_value(t):
 
 @query("select l_orderkey, l_linenumber from lineitem where l_quantity between 10 and 20 and l_discount >= 0.03 and l_tax <= 0.05")
 def op_dynamic_range(t):
-    values = F.create_map(*[x for c in ("l_quantity", "l_discount", "l_tax") for x in (F.lit(c), F.col(c))])
-    return t.lineitem.where(P.properties_in_range(values, {"l_quantity": (10, 20), "l_discount": (0.03, None), "l_tax": (None, 0.05)})).select("l_orderkey", "l_linenumber")
+    bounds = {"l_quantity": (10, 20), "l_discount": (0.03, None), "l_tax": (None, 0.05)}
+    return t.lineitem.where(P.every(*[P.in_range(F.col(c), *b) for c, b in bounds.items()])).select("l_orderkey", "l_linenumber")
 
 
 @query("select l_orderkey, string_agg(distinct l_returnflag, ',' order by l_returnflag) as flags from lineitem group by l_orderkey having bool_or(l_returnflag = 'R')")
@@ -435,10 +435,8 @@ r as (select l_orderkey, string_agg(distinct cast(cast(round(l_discount * 100) a
 select * from o join r using (l_orderkey)""")
 def op_facet_rollup(t):
     cents = F.round(F.col("l_discount") * 100).cast("int").cast("string")
-    rows = t.lineitem.withColumn("cents", cents)
-    sets = rows.groupBy("l_orderkey").agg(text_list(F.array_sort(F.collect_set("cents"))).alias("discounts"))
-    out = rollups.facet_rollup(rows, "l_orderkey", F.col("l_linenumber"), F.col("l_returnflag"), F.col("l_quantity"), {"has_open": F.col("l_linestatus") == "O"})
-    return out.join(sets, "l_orderkey").select("l_orderkey", text_list(F.col("modes")).alias("modes"), "discounts", "low", "high", "has_open")
+    out = rollups.facet_rollup(t.lineitem, "l_orderkey", F.col("l_linenumber"), F.col("l_returnflag"), F.col("l_quantity"), {"has_open": F.col("l_linestatus") == "O"}, cents)
+    return out.select("l_orderkey", text_list(F.col("modes")).alias("modes"), text_list(F.col("distinct_values")).alias("discounts"), "low", "high", "has_open")
 
 
 @query("select user_id, cast(count_if(event_type = 'click') as bigint) as click, cast(count_if(event_type = 'error') as bigint) as error, cast(count_if(event_type = 'view') as bigint) as view, count(*) as total from events group by user_id")
@@ -500,7 +498,7 @@ def op_first_last(t):
     return series.first_last(t.events, "user_id", "value", ["ts", "event_id"])
 
 
-@query("""with n as (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as i, count(*) over (partition by user_id) // 5 + 1 as k from events)
+@query("""with n as (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as i, case when count(*) over (partition by user_id) > 5 then count(*) over (partition by user_id) // 5 + 1 else 1 end as k from events)
 select user_id, event_id, value from n where i % k = 0""")
 def op_downsample(t):
     return series.downsample(t.events, "user_id", ["ts", "event_id"], 5).select("user_id", "event_id", "value")
@@ -559,24 +557,35 @@ def op_sentinel_clean(t):
     return t.part.select("p_partkey", scalars.finite_number(text).alias("number"))
 
 
-@query("""select * from (values (0, 'cc', 'charge', 'c_rate', 0.1e0, null, 'voltage 4.1 above', null), (1, 'cv', 'hold', 'voltage', 4.2e0, null, 'c_rate 0.02 below', null),
-(2, 'cc', 'discharge', 'current', 0.2, 5400e0, 'voltage 2.5 below', null), (3, 'rest', 'rest', null, null, 1800.0, '', null), (4, 'cp', 'discharge', 'power', 2.0, null, '', null),
-(5, null, null, null, null, null, '', 'no operation'), (6, 'rest', 'rest', null, null, null, '', 'bad duration'), (7, null, 'charge', 'voltage', 4.2, null, '', 'wrong quantity'), (8, null, 'charge', null, null, null, '', 'no value'))
-v(id, mode, direction, kind, amount, duration_s, ends, problem)""")
+_STEPS = ["Charge at C/{n} until 4.1 V", "Hold at 4.2 V until C/50", "Discharge at 200 mA until 2.5 V or for {n} hours", "Rest for 30 minutes", "discharge at 2 W", "Explode at 4 V", "Rest for 3 parsecs", "Charge at 4.2 V until C/20", "Discharge at 3 V for 1 hour"]
+
+
+def _step_texts(t):
+    """A step for each event: one of the forms, with a number of the event's."""
+    n = (F.col("event_id") % 7 + 1).cast("string")
+    form = F.element_at(F.array(*map(F.lit, _STEPS)), (F.col("event_id") % len(_STEPS) + 1).cast("int"))
+    return t.events.select("event_id", F.replace(form, F.lit("{n}"), n).alias("text"))
+
+
+@query("""with e as (select event_id, event_id % 9 as k, event_id % 7 + 1 as n from events)
+select event_id, case when k in (0, 2) then 'cc' when k in (1, 7, 8) then 'cv' when k in (3, 6) then 'rest' when k = 4 then 'cp' end as mode,
+case when k in (0, 7) then 'charge' when k = 1 then 'hold' when k in (2, 4, 8) then 'discharge' when k in (3, 6) then 'rest' end as direction,
+case when k = 0 then 'c_rate' when k in (1, 7, 8) then 'voltage' when k = 2 then 'current' when k = 4 then 'power' when k = 5 then 'voltage' end as kind,
+case when k = 0 then round(1.0 / n, 6) when k in (1, 7) then 4.2 when k = 2 then 0.2 when k = 4 then 2.0 when k = 8 then 3.0 when k = 5 then 4.0 end as amount,
+case when k = 2 then n * 3600.0 when k = 3 then 1800.0 when k = 8 then 3600.0 end as duration_s,
+case when k = 0 then 'voltage 4.1 above' when k = 1 then 'c_rate 0.02 below' when k = 2 then 'voltage 2.5 below' when k = 7 then 'c_rate 0.05 below' else '' end as ends,
+case when k = 5 then 'no operation' when k = 6 then 'bad duration' end as problem from e""")
 def op_step_parse(t):
-    texts = [
-        "Charge at C/10 until 4.1 V", "Hold at 4.2 V until C/50", "Discharge at 200 mA until 2.5 V or for 1.5 hours", "Rest for 30 minutes", "discharge at 2 W", "Explode at 4 V", "Rest for 3 parsecs", "Charge at 4.2 V", "Charge quickly",
-    ]
-    rows = t.values(list(enumerate(texts)), "id int, text string").withColumn("s", S.step(F.col("text")))
     s = F.col("s")
     ends = F.array_join(F.transform(s["termination"], lambda e: F.concat_ws(" ", e["quantity"], S.number_text(e["value"]), e["direction"])), ";")
-    return rows.select("id", s["mode"].alias("mode"), s["direction"].alias("direction"), s["setpoint"]["kind"].alias("kind"), F.round(s["setpoint"]["value"], 6).alias("amount"), s["duration_s"].alias("duration_s"), F.coalesce(ends, F.lit("")).alias("ends"), s["problem"].alias("problem"))
+    rows = _step_texts(t).withColumn("s", S.step(F.col("text")))
+    return rows.select("event_id", s["mode"].alias("mode"), s["direction"].alias("direction"), s["setpoint"]["kind"].alias("kind"), F.round(s["setpoint"]["value"], 6).alias("amount"), s["duration_s"].alias("duration_s"), F.coalesce(ends, F.lit("")).alias("ends"), s["problem"].alias("problem"))
 
 
-@query("""select * from (values (0, 'Charge at 0.1C until 4.1 V'), (1, 'Hold at 4.2 V until 0.02C'), (2, 'Discharge at 0.2 A for 5400 seconds or until 2.5 V'), (3, 'Rest for 1800 seconds')) v(id, text)""")
+@query("""select event_id, case event_id % 9 when 1 then 'Hold at 4.2 V until 0.02C' when 2 then 'Discharge at 0.2 A for ' || (event_id % 7 + 1) * 3600 || ' seconds or until 2.5 V' when 3 then 'Rest for 1800 seconds'
+when 4 then 'Discharge at 2 W' when 7 then 'Charge at 4.2 V until 0.05C' when 8 then 'Discharge at 3 V for 3600 seconds' end as text from events where event_id % 9 not in (0, 5, 6)""")
 def op_step_render(t):
-    texts = ["Charge at C/10 until 4.1 V", "Hold at 4200 mV until C/50", "Discharge at 200 mA until 2.5 V or for 1.5 hours", "Rest for 30 minutes"]
-    return t.values(list(enumerate(texts)), "id int, text string").select("id", S.rendered(S.step(F.col("text"))).alias("text"))
+    return _step_texts(t).where("event_id % 9 not in (0, 5, 6)").select("event_id", S.rendered(S.step(F.col("text"))).alias("text"))
 
 
 @query("select 1 as id, 'cc,cv,rest' as modes, 'charge,discharge' as directions, 'current,voltage' as control_modes, true as has_cv_hold, true as has_rest, false as has_eis, '0.02,0.5,1.0' as c_rates, '2.5,4.2' as voltage_window")
@@ -604,12 +613,16 @@ def op_geometry(t):
     return t.part.select("p_partkey", g["volume"].alias("volume"))
 
 
-@query("""select * from (values (0, 1e0, 'LiPF6', 'EC 0.3,EMC 0.7'), (1, 1.2, 'LiTFSI', 'EC ,DMC '), (2, null, null, null), (3, 1.0, 'LiFSI', 'EC 1.0')) v(id, concentration, salt, solvents)""")
+@query("""with c as (select c_custkey, c_custkey % 4 as k, c_nationkey % 9 + 1 as n from customer)
+select c_custkey, case when k < 2 then n / 2.0 when k = 3 then 1.0 end as concentration, case k when 0 then 'LiPF6' when 1 then 'LiTFSI' when 3 then 'LiFSI' end as salt,
+case k when 0 then 'EC 0.3,EMC 0.7' when 1 then 'EC ,DMC ' when 3 then 'EC 1.0' end as solvents from c""")
 def op_electrolyte(t):
-    texts = ["1M LiPF6 EC:EMC=3:7wt%", "1.2 M LiTFSI in EC:DMC", "secret sauce", "1M LiFSI EC:EC=1:1"]
-    e = scalars.electrolyte(F.col("text"))
-    rows = t.values(list(enumerate(texts)), "id int, text string")
-    return rows.select("id", e["concentration"].alias("concentration"), e["salt"].alias("salt"), F.array_join(F.transform(e["solvents"], lambda s: F.concat(s["name"], F.lit(" "), F.coalesce(s["fraction"].cast("string"), F.lit("")))), ",").alias("solvents"))
+    strength = ((F.col("c_nationkey") % 9 + 1) / 2).cast("string")
+    k = F.col("c_custkey") % 4
+    text = F.when(k == 0, F.concat(strength, F.lit("M LiPF6 EC:EMC=3:7wt%"))).when(k == 1, F.concat(strength, F.lit(" M LiTFSI in EC:DMC"))).when(k == 2, "secret sauce").otherwise("1M LiFSI EC:EC=1:1")
+    e = scalars.electrolyte(text)
+    solvents = F.array_join(F.transform(e["solvents"], lambda s: F.concat(s["name"], F.lit(" "), F.coalesce(s["fraction"].cast("string"), F.lit("")))), ",")
+    return t.customer.select("c_custkey", e["concentration"].alias("concentration"), e["salt"].alias("salt"), solvents.alias("solvents"))
 
 
 @query("""select * from (values (0, 'https://doi.org/10.1/a', null, null), (1, 'https://doi.org/10.1234/x', '0000-0002-1825-0097', 'https://ror.org/05abc'), (2, 'plain text', null, 'https://ror.org/x')) v(id, citation, orcid, ror)""")
@@ -650,7 +663,7 @@ def op_rule_issues(t):
 
 @query(f"select cast(count_if(severity = 'error') as bigint) as n_errors, cast(count_if(severity = 'warning') as bigint) as n_warnings, count_if(severity = 'error') = 0 as ok from ({_RULES})")
 def op_report(t):
-    return rules.severities(rules.combined(rules.issues(t.lineitem, "l_orderkey", _line_rules()[:2]), rules.issues(t.lineitem, "l_orderkey", _line_rules()[2:])))
+    return rules.severities(rules.issues(t.lineitem, "l_orderkey", _line_rules()))
 
 
 @query(f"select id, cast(count_if(severity = 'error') as bigint) as n_errors, cast(count_if(severity = 'warning') as bigint) as n_warnings, count_if(severity = 'error') = 0 as ok from ({_RULES}) group by id")
@@ -685,13 +698,12 @@ def op_unit_mismatch(t):
     return rules.unit_mismatches(t.part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("property"), F.col("p_brand").alias("unit")), {"ECONOMY": ["Brand#1", "Brand#2"]})
 
 
-@query("select * from (values (0, null), (1, 'one value form'), (2, 'curve lengths'), (3, 'curve not finite'), (4, 'unknown class')) v(id, problem)")
+@query("""select p_partkey, case p_size % 5 when 1 then 'one value form' when 2 then 'curve lengths' when 3 then 'curve not finite' when 4 then 'unknown class' end as problem from part""")
 def op_claim_checks(t):
-    rows = t.values(
-        [(0, 1.0, None, None, None, "measured"), (1, 1.0, [1.0], [1.0], None, "measured"), (2, None, [1.0, 2.0], [1.0], None, "measured"), (3, None, [1.0], [float("inf")], None, "measured"), (4, None, None, None, "x+1", "guess")],
-        "id int, q double, x array<double>, y array<double>, e string, k string",
-    )
-    return rows.select("id", rules.claim_problem(F.col("q"), F.col("x"), F.col("y"), F.col("e"), F.col("k"), ["measured", "fitted"]).alias("problem"))
+    k, price = F.col("p_size") % 5, F.col("p_retailprice")
+    xs = F.when(k == 1, F.array(price)).when(k == 2, F.array(price, price)).when(k == 3, F.array(price))
+    ys = F.when(k.isin(1, 2), F.array(price)).when(k == 3, F.array(F.lit(float("inf"))))
+    return t.part.select("p_partkey", rules.claim_problem(F.when(k < 2, price), xs, ys, F.when(k == 4, "x+1"), F.when(k == 4, "guess").otherwise("measured"), ["measured", "fitted"]).alias("problem"))
 
 
 @query("select doc_id, sha256(text) as checksum, true as ok, false as short_ok from documents")
@@ -712,10 +724,14 @@ def op_schema_rules(t):
     return rules.issues(t.customer, "c_custkey", schema.rules_of(wanted, columns)).select("id", "code", "path")
 
 
-@query("""select p_partkey as id, 'size_code_prefix_mismatch' as code from part where p_size > 20 and p_type = 'SMALL' union all select p_partkey, 'size_code_invalid' from part where p_type = 'LARGE'""")
+@query("""with p as (select p_partkey, p_type, case when p_size % 5 = 0 then 'CR' || p_size when p_size % 2 = 0 then 'R' || p_size else 'P' || p_size || '/50' end as code,
+case p_type when 'SMALL' then 'coin' when 'LARGE' then 'cylindrical' when 'PROMO' then 'pouch' when 'ECONOMY' then 'prismatic' else 'other' end as form from part)
+select p_partkey as id, case when left(code, 1) not in ('R', 'P') then 'size_code_invalid' else 'size_code_prefix_mismatch' end as code from p
+where left(code, 1) not in ('R', 'P') or (form in ('coin', 'cylindrical') and left(code, 1) <> 'R') or (form in ('pouch', 'prismatic') and left(code, 1) <> 'P')""")
 def op_size_codes(t):
-    code = F.when(F.col("p_type") == "LARGE", "??").when(F.col("p_size") > 20, F.concat(F.lit("XX"), "p_size")).otherwise(F.concat(F.lit("CR"), "p_size"))
-    form = F.when(F.col("p_type") == "SMALL", "coin").otherwise("pouch")
+    size = F.col("p_size").cast("string")
+    code = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("CR"), size)).when(F.col("p_size") % 2 == 0, F.concat(F.lit("R"), size)).otherwise(F.concat(F.lit("P"), size, F.lit("/50")))
+    form = scalars.mapped(F.col("p_type"), {"SMALL": "coin", "LARGE": "cylindrical", "PROMO": "Pouch", "ECONOMY": "prismatic"}, F.lit("other"))
     return rules.issues(t.part, "p_partkey", schema.size_code_rules(code, form)).select("id", "code")
 
 
@@ -726,19 +742,45 @@ def op_time_order(t):
     return found.select(F.col("id.l_orderkey").alias("id"), F.col("id.l_linenumber").alias("l_linenumber"), "code")
 
 
-@query("""select p_partkey as id, 'electrode_polarity_expected' as code from part where p_size > 25 and p_type <> 'PROMO' union all select p_partkey, 'electrode_role_expected' from part where p_size <= 25 and p_type = 'PROMO'""")
+@query("""with p as (select p_partkey, p_size % 3 <> 0 as by_polarity, p_size % 3 <> 1 as by_role, p_type in ('SMALL', 'LARGE') or (p_type = 'PROMO' and p_size > 25) as roles_wanted from part)
+select p_partkey as id, case when by_polarity and by_role then 'electrode_holders_mixed' when by_polarity then 'electrode_role_expected' else 'electrode_polarity_expected' end as code, 'warning' as severity
+from p where (by_polarity and by_role) or (by_polarity and roles_wanted) or (by_role and not roles_wanted)""")
 def op_electrode_roles(t):
-    role = F.when(F.col("p_size") > 25, "positive").otherwise("working")
-    polarity = F.when((F.col("p_type") == "PROMO") & (F.col("p_size") > 25), "positive").when(F.col("p_type") != "PROMO", "negative")
-    return rules.issues(t.part, "p_partkey", schema.electrode_rules(polarity, role, F.lit(False))).select("id", "code")
+    configuration = scalars.mapped(F.col("p_type"), {"SMALL": "Half_Cell", "LARGE": "three-electrode", "ECONOMY": "full_cell"})
+    made = schema.electrode_rules(configuration, F.col("p_size") % 3 != 0, F.col("p_size") % 3 != 1, (F.col("p_size") > 25) & (F.col("p_type") == "PROMO"))
+    return rules.issues(t.part, "p_partkey", made).select("id", "code", "severity")
+
+
+@query("""select p_partkey as id, case when p_size % 3 = 0 then 'material_kind_missing' else 'material_kind_unknown' end as code, case when p_size % 3 = 0 then 'warning' else 'error' end as severity
+from part where p_size % 3 = 0 or p_type not in ('SMALL', 'PROMO')""")
+def op_material_kinds(t):
+    kind = F.when(F.col("p_size") % 3 == 0, " ").otherwise(F.concat(F.col("p_type"), F.lit(" ")))
+    return rules.issues(t.part, "p_partkey", schema.kind_rules(kind, ["small", "Promo"], "material")).select("id", "code", "severity")
+
+
+@query("""select o_orderkey as id, 'dataset_missing_cell_link' as code from orders where o_orderstatus <> 'P' and o_orderkey not in (select l_orderkey from lineitem where l_quantity > 30)""")
+def op_cell_links(t):
+    cells = t.lineitem.where("l_quantity > 30").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_partkey").alias("cells"))
+    both = t.orders.join(cells, F.col("o_orderkey") == F.col("k"), "left")
+    return rules.issues(both, "o_orderkey", [schema.cell_link_rule(F.col("cells"), F.col("o_orderstatus") == "P")]).select("id", "code")
+
+
+@query("select s_suppkey as id, 'short_id_mismatch' as code from supplier where s_suppkey % 2 = 1 union all select s_suppkey, 'identifier_uid_invalid' from supplier where s_suppkey % 5 = 0")
+def op_identifiers(t):
+    uid = identity.normalised_uid(F.substring(F.md5("s_name"), 1, 16))
+    identifier = F.concat(F.lit("https://example.org/cell/"), uid, F.when(F.col("s_suppkey") % 5 == 0, "xyz").otherwise(""))
+    short = F.when(F.col("s_suppkey") % 2 == 1, "zzzzzz").otherwise(F.upper(F.substring(F.md5("s_name"), 1, 6)))
+    return rules.issues(t.supplier, "s_suppkey", schema.identifier_rules(identifier, short)).select("id", "code")
 
 
 # Graphs and documents
 
 
-@query("""select * from (values (0, 'r6 lr6 fr6 aa doublea'), (1, '18650'), (2, 'x1')) v(id, codes)""")
+@query("""select p_partkey, case p_size % 4 when 0 then 'r6 lr6 fr6 aa doublea' when 1 then '18650' when 2 then 'r03 lr03 fr03 aaa triplea' else 'x' || p_size end as codes from part""")
 def op_size_aliases(t):
-    return t.values([(0, "AA"), (1, "18650"), (2, "X-1")], "id int, code string").select("id", exports.size_aliases(F.col("code")).alias("codes"))
+    k = F.col("p_size") % 4
+    code = F.when(k == 0, "AA").when(k == 1, "18650").when(k == 2, "Triple-A").otherwise(F.concat(F.lit("X-"), "p_size"))
+    return t.part.select("p_partkey", exports.size_aliases(code).alias("codes"))
 
 
 @query("""select s_suppkey, coalesce(case when s_acctbal > 5000 then 'own' end, 'cc-by-4.0') as license, 'lab' as contributor from supplier""")
@@ -853,6 +895,121 @@ def op_group_files(t):
     return importers.grouped_files(t.supplier.select("s_name"), "s_name", [r"(?i)(?:channel|ch)[-_]?0*(\d+)", r"#0*(\d+)$"])
 
 
+# More scalar functions, links and rollups
+
+
+@query("""select event_id, case event_id % 4 when 0 then 7 when 1 then 1704067200 when 3 then 1704067200 + event_id end as seconds, case when event_id % 4 = 2 then 'unparsable time' end as problem from events""")
+def op_resolved_time(t):
+    k = F.col("event_id") % 4
+    text = F.when(k == 0, " ").when(k == 1, "2024-01-01T00:00:00Z").when(k == 2, "soon").otherwise((F.col("event_id") + 1704067200).cast("string"))
+    r = scalars.resolved_time(text, F.lit(7))
+    return t.events.select("event_id", r["seconds"].alias("seconds"), r["problem"].alias("problem"))
+
+
+@query("select event_id, case event_type when 'click' then 'Galvanostatic cycling' when 'view' then 'Impedance' else event_type end as label from events")
+def op_technique_labels(t):
+    return t.events.select("event_id", scalars.mapped(F.col("event_type"), {"click": "Galvanostatic cycling", "view": "Impedance"}, F.col("event_type")).alias("label"))
+
+
+@query("""select event_id, '{"body":{"v":' || event_id || '},"id":"' || event_type || '","list":[{},{"w":3}]}' as document from events""")
+def op_without_volatile(t):
+    text = F.concat(F.lit('{"id":"'), "event_type", F.lit('","created_at":5,"list":[{"created_at":1},{"w":3}],"body":{"retrieved_at":{"id":1},"v":'), "event_id", F.lit("}}"))
+    return t.events.select("event_id", exports.without_volatile(text, ["created_at", "retrieved_at"]).alias("document"))
+
+
+@query("select o_orderkey, case when o_orderkey % 3 > 0 then c.c_custkey end as customer_id from orders left join customer c on o_custkey = c.c_custkey")
+def op_embedded_replaced(t):
+    holders = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, F.format_string(" CUSTOMER#%09d", F.col("o_custkey"))).otherwise("nobody").alias("holder"))
+    return references.holder_to_key(holders, "holder", t.customer, "c_name", "c_custkey", "customer_id")
+
+
+@query("""select p_brand, p_type, p_partkey from (select *, row_number() over (partition by p_brand, p_type order by case when p_size < 10 then 0 else 1 end, p_partkey) as r from part) where r = 1""")
+def op_merged_entities(t):
+    columns = t.part.select("p_brand", "p_type", "p_partkey", "p_size")
+    return records.merged_first(columns.where("p_size < 10").drop("p_size"), columns.where("p_size >= 10").drop("p_size"), ["p_brand", "p_type"], [F.col("p_partkey")])
+
+
+@query("select p_partkey, p_type from part where p_type <> 'PROMO' and p_size > 3 order by p_partkey limit 12")
+def op_import_limit(t):
+    return records.first_usable(t.part.select("p_partkey", "p_type", "p_size"), (F.col("p_type") != "PROMO") & (F.col("p_size") > 3), [F.col("p_partkey")], 12).select("p_partkey", "p_type")
+
+
+@query("""select user_id, case when count_if(event_type = 'error') > 5 then 'annotate' when count_if(event_type = 'click') > count_if(event_type = 'view') then 'submit' else 'done' end as next from events group by user_id""")
+def op_next_command(t):
+    status = rollups.status_pivot(t.events, "user_id", "event_type", ["click", "error", "view"])
+    return status.select("user_id", rollups.next_step([(F.col("error") > 5, "annotate"), (F.col("click") > F.col("view"), "submit")], "done").alias("next"))
+
+
+@query("""select l_orderkey, count(*) as wanted, cast(count_if(l_discount > 0.04) as bigint) as found, case when count_if(l_discount > 0.04) = 0 then 'none' when count_if(l_discount > 0.04) < count(*) then 'partial' else 'full' end as score
+from lineitem group by l_orderkey""")
+def op_recovery_score(t):
+    counts = t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("wanted"), F.count_if(F.col("l_discount") > 0.04).alias("found"))
+    return counts.withColumn("score", rollups.recovery(F.col("found"), F.col("wanted")))
+
+
+@query("""with f as (select s_suppkey, s_suppkey % 3 as k, substr(md5(s_name), 1, 6) as short from supplier), s as (select short, min(s_suppkey) as cell from f group by short)
+select 'raw/' || case k when 0 then 'run-' || f.short || '.csv' when 1 then 'TEST_cell' || s_suppkey || '_01.nda' else 'other' || s_suppkey || '.csv' end as path, case k when 0 then cell when 1 then s_suppkey end as cell from f left join s on f.short = s.short""")
+def op_file_cells(t):
+    cells = t.supplier.select(F.col("s_suppkey").alias("cell"), F.substring(F.md5("s_name"), 1, 6).alias("short"), F.concat(F.lit("Cell"), "s_suppkey").alias("serial"))
+    k = F.col("cell") % 3
+    path = F.concat(F.lit("raw/"), F.when(k == 0, F.concat(F.lit("run-"), "short", F.lit(".csv"))).when(k == 1, F.concat(F.lit("TEST_cell"), "cell", F.lit("_01.nda"))).otherwise(F.concat(F.lit("other"), "cell", F.lit(".csv"))))
+    return references.matched_files(cells.select(path.alias("path")), "path", cells, "cell", "short", "serial")
+
+
+@query("""with v as (select n_regionkey * 10 + n_nationkey % 4 as class, n_name from nation) select class, case when count(distinct n_name) = 1 then min(n_name) end as n_name, count(distinct n_name) > 1 as ambiguous from v group by class""")
+def op_inverse_vocabulary(t):
+    return references.inverse(t.nation.select((F.col("n_regionkey") * 10 + F.col("n_nationkey") % 4).alias("class"), "n_name"), "n_name", "class")
+
+
+@query("""select s_name as id, '{"attributes":{"titles":[{"title":"' || s_name || '"}],"creators":[{"name":"lab"}],"publicationYear":2024,"types":{"resourceTypeGeneral":"Dataset"},"rightsList":[{"rights":"cc-by-4.0"}]}}' as document from supplier""")
+def op_datacite(t):
+    return exports.datacite(t.supplier, F.col("s_name"), F.col("s_name"), F.lit(2024), F.lit("lab"), F.lit("cc-by-4.0"))
+
+
+@query("""select page_id, case when ends_with(lower(url), '.html') then 'text/html' when ends_with(lower(url), '/') then 'inode/directory' else 'application/octet-stream' end as media from pages""")
+def op_media_types(t):
+    return t.pages.select("page_id", scalars.media_type(F.col("url"), {".html": "text/html", "/": "inode/directory"}).alias("media"))
+
+
+@query("select page_id, replace(url, 'example', '***') as url from pages")
+def op_redacted(t):
+    return t.pages.select("page_id", scalars.without_secret(F.col("url"), "example").alias("url"))
+
+
+@query("select p_partkey, case when p_size % 2 = 0 then replace(lower(p_type), 'ohms', 'ohm') else 'mah' end as unit from part")
+def op_unit_tokens(t):
+    return t.part.select("p_partkey", scalars.normalised_unit(F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" "), "p_type")), F.lit("mA h")).alias("unit"))
+
+
+@query("select p_partkey, case when p_size % 3 = 0 and p_size % 2 = 0 then 'unknown' when p_size % 3 = 0 then p_brand when p_size % 2 = 0 then p_type else p_type || ' | ' || p_brand end as chemistry from part")
+def op_chemistry_text(t):
+    parts = F.when(F.col("p_size") % 3 != 0, F.col("p_type")), F.when(F.col("p_size") % 2 != 0, F.col("p_brand"))
+    return t.part.select("p_partkey", scalars.joined(*parts, default="unknown").alias("chemistry"))
+
+
+@query("select p_partkey, case when p_size % 2 = 0 then round(p_size / 100.0, 6) else cast(p_size as double) end as fraction, case when p_size % 2 = 0 then round(p_size / 1000.0, 6) else p_size / 10.0 end as spread from part")
+def op_fraction_spread(t):
+    size = F.col("p_size").cast("double")
+    f = scalars.fraction_with_spread(size, size / 10, F.when(F.col("p_size") % 2 == 0, "%").otherwise("1"))
+    return t.part.select("p_partkey", f["value"].alias("fraction"), f["std_dev"].alias("spread"))
+
+
+@query("select coalesce(event_type, 'total') as kind, count(*) as n, cast(count_if(value < 20) as bigint) as n_failed from events group by rollup (event_type)")
+def op_kind_outcomes(t):
+    return rollups.outcomes(t.events, "event_type", F.col("value") < 20)
+
+
+@query("select c_custkey, case when c_custkey % 3 > 0 then c_name || '::' || c_mktsegment else c_mktsegment end as seed from customer")
+def op_natural_seeds(t):
+    return t.customer.select("c_custkey", identity.seed_of(F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit(" "), "c_name")).otherwise(" "), F.col("c_mktsegment")).alias("seed"))
+
+
+@query("select 'a/' || s_suppkey || '.csv' as path, case when s_suppkey % 3 = 0 then 'a/' || s_suppkey || '.bdf.parquet' end as converted from supplier")
+def op_raw_converted(t):
+    names = [F.concat(F.lit("a/"), "s_suppkey", F.lit(".csv")), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("a/"), "s_suppkey", F.lit(".bdf.parquet")))]
+    return series.raw_with_converted(t.supplier.select(F.explode(F.array_compact(F.array(*names))).alias("path")))
+
+
 # Beyond the record engine: what Spark's own operators add
 
 

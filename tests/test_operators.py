@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from recordmill.operators import graph, importers, records, references, rollups, rules, series
+from recordmill.operators import graph, importers, records, references, rollups, rules, schema, series
 from recordmill.plans import query as Q
 from recordmill.sources import records as sources
 from recordmill.streaming import journal
@@ -60,7 +60,8 @@ def test_rules_and_policies(spark):
     found = rules.issues(df, "id", [rules.Rule("big", "error", "v", F.col("v") > 4, "too big"), rules.Rule("value_not_finite", "error", "v", rules.not_finite(F.col("v")), "nan")])
     assert rows(found, "id", "code") == [(1, "big"), (2, "big"), (2, "value_not_finite")]
     assert rules.severities(found).first().n_errors == 3 and rules.severities(found.limit(0)).first().ok
-    assert {r.severity for r in rules.under_policy(found, "semantic", "draft").collect()} == {"warning"} and rules.under_policy(found, "references", "draft").count() == 0
+    assert {r.severity for r in rules.under_policy(found, "semantic", "default").collect()} == {"warning"} == {r.severity for r in rules.under_policy(found, "references", "ingest").collect()}
+    assert {r.severity for p in rules.POLICIES for r in rules.under_policy(found, "publication", p).collect()} == {"error"}
     assert rules.rendered(found).where("id = 2").first().text == "[error] v: too big\n[error] v: nan"
 
 
@@ -81,6 +82,53 @@ def test_conformance(spark):
     a = spark.createDataFrame([(1, 1.0, None), (2, 2.0, "x")], "k int, v double, w string")
     b = spark.createDataFrame([(1, 1.05, None), (2, 2.0, None)], "k int, v double, w string")
     assert rows(rollups.conformance(a, b, "k", ["v", "w"])) == [(1, ["v"]), (2, ["w"])]
+    assert rows(rollups.conformance(a, b, "k", ["v", "w"], 0.1)) == [(2, ["w"])]
+
+
+def issue_codes(spark, columns, rows_, made):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows_)], "i int, " + columns)
+    out = {}
+    for r in rules.issues(df, "i", made).collect():
+        out.setdefault(r.id, set()).add((r.code, r.severity))
+    return [out.get(i, set()) for i in range(len(rows_))]
+
+
+def test_size_codes(spark):
+    codes = [("R26650", "cylindrical"), ("P20/50/50", "pouch"), ("P20-50-50", " Prismatic "), ("CR2032", "coin"), ("R2032", "pouch"), ("P1", "coin"), ("R1", "other"), (" ", "coin"), (None, "coin"), ("P2", None)]
+    invalid, mismatch = {("size_code_invalid", "error")}, {("size_code_prefix_mismatch", "error")}
+    got = issue_codes(spark, "c string, f string", codes, schema.size_code_rules(F.col("c"), F.col("f"), "error"))
+    assert got == [set(), set(), set(), invalid, mismatch, mismatch, set(), set(), set(), set()]
+
+
+def test_electrode_families(spark):
+    cells = [("half_cell", True, False, False), ("Full_Cell", True, False, True), (None, False, True, False), (None, False, True, True), (None, True, False, True), ("three-electrode", True, True, True), ("half-cell", False, True, False), (None, False, False, True)]
+    role, polarity, mixed = ({(f"electrode_{x}", "warning")} for x in ("role_expected", "polarity_expected", "holders_mixed"))
+    got = issue_codes(spark, "c string, p boolean, r boolean, x boolean", cells, schema.electrode_rules(*map(F.col, "cprx")))
+    assert got == [role, set(), polarity, set(), role, mixed, set(), set()]
+
+
+def test_kinds(spark):
+    got = issue_codes(spark, "k string", [("Graphite ",), (" ",), (None,), ("stone",)], schema.kind_rules(F.col("k"), ["graphite"], "material", "error"))
+    missing, unknown = {("material_kind_missing", "error")}, {("material_kind_unknown", "error")}
+    assert got == [set(), missing, missing, unknown]
+
+
+def test_series_of_the_most_rows_stay_whole(spark):
+    df = spark.createDataFrame([(k, o) for k, n in ((1, 5), (2, 6), (3, 11)) for o in range(n)], "k int, o int")
+    kept = [(r.k, r.o) for r in series.downsample(df, "k", ["o"], 5).orderBy("k", "o").collect()]
+    assert kept == [(1, o) for o in range(5)] + [(2, 0), (2, 2), (2, 4)] + [(3, 0), (3, 3), (3, 6), (3, 9)]
+
+
+def test_predicates_reach_the_scan(spark, small):
+    def pushed(table, condition):
+        plan = spark.read.parquet(f"{small}/{table}.parquet").where(condition)._jdf.queryExecution().executedPlan().toString()
+        return plan.split("PushedFilters: [")[1].split("]")[0]
+
+    from recordmill.functions import predicates as P
+
+    assert "EqualTo(o_orderkey,7)" in pushed("orders", P.equals(F.col("o_orderkey"), 7)) and "In(o_orderstatus" in pushed("orders", P.one_of(F.col("o_orderstatus"), ["F", "P"]))
+    both = pushed("part", P.in_range(F.col("p_size"), 5, 45, nan=False))
+    assert "GreaterThanOrEqual(p_size,5)" in both and "LessThanOrEqual(p_size,45)" in both and "GreaterThanOrEqual(s_acctbal" in pushed("supplier", P.in_range(F.col("s_acctbal"), 1000, 6000))
 
 
 def test_series(spark):
