@@ -570,8 +570,8 @@ def _step_texts(t):
 @query("""with e as (select event_id, event_id % 9 as k, event_id % 7 + 1 as n from events)
 select event_id, case when k in (0, 2) then 'cc' when k in (1, 7, 8) then 'cv' when k in (3, 6) then 'rest' when k = 4 then 'cp' end as mode,
 case when k in (0, 7) then 'charge' when k = 1 then 'hold' when k in (2, 4, 8) then 'discharge' when k in (3, 6) then 'rest' end as direction,
-case when k = 0 then 'c_rate' when k in (1, 7, 8) then 'voltage' when k = 2 then 'current' when k = 4 then 'power' when k = 5 then 'voltage' end as kind,
-case when k = 0 then round(1.0 / n, 6) when k in (1, 7) then 4.2e0 when k = 2 then 0.2e0 when k = 4 then 2e0 when k = 8 then 3e0 when k = 5 then 4e0 end as amount,
+case when k = 0 then 'c_rate' when k in (1, 7, 8) then 'voltage' when k = 2 then 'current' when k = 4 then 'power' end as kind,
+case when k = 0 then round(1.0 / n, 6) when k in (1, 7) then 4.2e0 when k = 2 then 0.2e0 when k = 4 then 2e0 when k = 8 then 3e0 end as amount,
 case when k = 2 then n * 3600e0 when k = 3 then 1800e0 when k = 8 then 3600e0 end as duration_s,
 case when k = 0 then 'voltage 4.1 above' when k = 1 then 'c_rate 0.02 below' when k = 2 then 'voltage 2.5 below' when k = 7 then 'c_rate 0.05 below' else '' end as ends,
 case when k = 5 then 'no operation' when k = 6 then 'bad duration' end as problem from e""")
