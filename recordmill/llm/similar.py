@@ -12,7 +12,8 @@ texts. The order only decides the cost; it comes from a sketch of counts over al
 
 A large group of near copies costs links by member, not by pair: nodes are compared with a few leaders of each shared shingle
 first, and pairs that these links connect already are never listed. Texts travel compressed, and only those of candidates;
-everything else is decided on row numbers. Joins that carry much are sort-merge joins at every size.
+everything else is decided on row numbers. What carries much is joined with the numbers of the rows that go, not of those that
+stay: they are fewer as a rule, and where Spark finds them small enough for a broadcast, nothing else moves.
 """
 
 from __future__ import annotations
@@ -212,7 +213,8 @@ def _tokens(marked: DataFrame, nodes: DataFrame) -> DataFrame:
     each border of a range is settled by its neighbour. Two rows a range are collected.
     """
     spark = marked.sparkSession
-    sent = marked.select(F.col("_row").alias("node"), "_first").join(nodes.select("node"), "node", "left_semi").select(F.explode("_first").alias("h"), "node")
+    copies = cut(marked.select(F.col("_row").alias("node")).join(nodes.select("node"), "node", "left_anti"))  # fewer than the nodes, as a rule
+    sent = marked.select(F.col("_row").alias("node"), "_first").join(copies, "node", "left_anti").select(F.explode("_first").alias("h"), "node")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(sent.repartitionByRange(parts, "h", "node").sortWithinPartitions("h", "node").mapInArrow(_neighbours, "h long, node long, place int, edge int"))
     edges = ranged.where("edge > 0").orderBy("place", F.pmod(F.col("edge") - 1, F.lit(2))).collect()
@@ -226,7 +228,7 @@ def _tokens(marked: DataFrame, nodes: DataFrame) -> DataFrame:
     if added:
         shared = shared.unionByName(spark.createDataFrame(sorted(added), "h long, node long"))
     out = cut(shared)
-    discard(ranged)
+    discard(ranged, copies)
     return out
 
 
@@ -383,10 +385,11 @@ def drop_similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     found = components(links(marked, nodes)).withColumnRenamed("node", "_node")
     roots = nodes.join(found, F.col("node") == F.col("_node"), "left").select("_set", F.coalesce("component", "node").alias("_root"))
     place = f"_in_{names.index(key)}"
-    kept = cut(survivors(marked.select("_row", place, "_set").join(roots, "_set"), "_root", place, "_row").select("_row"))
+    kept = survivors(marked.select("_row", place, "_set").join(roots, "_set"), "_root", place, "_row").select("_row")
+    gone = cut(marked.select("_row").join(kept, "_row", "left_anti"))
     release(df.sparkSession)
     columns = [("z", text) if n == text else (f"_in_{i}", n) for i, n in enumerate(names)]
-    left = marked.select("_row", *[c for c, _ in columns]).join(kept, "_row", "left_semi").select(*[c for c, _ in columns])
+    left = marked.select("_row", *[c for c, _ in columns]).join(gone, "_row", "left_anti").select(*[c for c, _ in columns])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         press = zstandard.ZstdDecompressor()
