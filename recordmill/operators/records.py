@@ -59,6 +59,37 @@ def upserted(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return stored.join(incoming.select(key), key, "left_anti").unionByName(incoming, allowMissingColumns=True)
 
 
+def save_outcomes(incoming: DataFrame, stored: DataFrame, key: str, content: Sequence[str], errors: DataFrame, links: DataFrame, mode: str = "upsert", on_duplicate: str = "error", dry_run: bool = False) -> DataFrame:
+    """What saving does with each incoming row: key, status (created, updated, exists, failed, dry-run), problem (null, invalid,
+    reference, duplicate). errors: id; links: id, target. Rows with an error fail; so do rows that refer to what is neither stored
+    nor among the incoming rows without errors, so that the order inside a batch doesn't matter. mode `create_only` leaves stored
+    rows alone and fails for them, or says that they exist if on_duplicate is `return_existing`. One row for each incoming key;
+    rows of a null key are left out."""
+    own = incoming.where(F.col(key).isNotNull())
+    invalid = errors.select(F.col("id").alias("_id")).distinct()
+    valid = own.join(invalid, F.col(key) == F.col("_id"), "left_anti")
+    there = stored.select(F.col(key).alias("_there")).unionByName(valid.select(F.col(key).alias("_there")))
+    dangling = links.where("target is not null").join(there, F.col("target") == F.col("_there"), "left_anti").select("id")
+    troubles = invalid.select(F.col("_id").alias("_key"), F.lit(0).alias("_rank")).unionByName(dangling.select(F.col("id").alias("_key"), F.lit(1).alias("_rank"))).groupBy("_key").agg(F.min("_rank").alias("_rank"))
+    status = upsert_status(own, stored, key, content).where("status <> 'kept'")
+    old = F.col("status") != "created"
+    refused = old & F.lit(mode == "create_only")
+    problem = F.when(F.col("_rank") == 0, "invalid").when(F.col("_rank") == 1, "reference").when(refused & F.lit(on_duplicate != "return_existing"), "duplicate")
+    done = F.when(refused, "exists").when(F.lit(dry_run), "dry-run").otherwise(F.col("status"))
+    judged = status.join(troubles, F.col(key) == F.col("_key"), "left").select(key, done.alias("status"), problem.alias("problem"))
+    return judged.withColumn("status", F.when(F.col("problem").isNotNull(), "failed").otherwise(F.col("status")))
+
+
+def saved(incoming: DataFrame, stored: DataFrame, key: str, outcomes: DataFrame) -> DataFrame:
+    """The store after the save: rows that were created or updated are in, all else is as it was."""
+    return upserted(incoming.join(outcomes.where("status in ('created', 'updated')").select(key), key, "left_semi"), stored, key)
+
+
+def promoted(staged: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """Staged rows without an error among their issues (id, severity)."""
+    return staged.join(found.where("severity = 'error'").select(F.col("id").alias(key)), key, "left_anti")
+
+
 def not_done(df: DataFrame, journal: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows without a successful journal entry of the same keys."""
     return df.join(journal.select(*key).distinct(), list(key), "left_anti")

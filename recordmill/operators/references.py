@@ -66,6 +66,16 @@ def holder_to_key(df: DataFrame, holder: str, entries: DataFrame, name: str, key
     return df.join(known, F.lower(F.trim(F.col(holder))) == F.col("_name"), "left").drop("_name", holder)
 
 
+def disagreeing(df: DataFrame, id_column: str, foreign: str, stated: str, entries: DataFrame, key: str, name: str) -> DataFrame:
+    """Records whose reference finds nothing, or whose stated name is not the name of what it finds (ignoring case and outer spaces;
+    a blank one states nothing): id, code, found. Chains are walked by calling it once a link."""
+    there = entries.select(F.col(key).alias("_key"), F.col(name).cast("string").alias("found"))
+    plain = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    code = F.when(F.col("_key").isNull(), "reference.missing").when(plain(F.col(stated)) != F.coalesce(plain(F.col("found")), F.lit("")), "name_mismatch")
+    told = df.where(F.col(foreign).isNotNull()).select(F.col(id_column).alias("id"), F.col(foreign).alias("_foreign"), F.col(stated).cast("string").alias(stated))
+    return told.join(there, F.col("_foreign") == F.col("_key"), "left").select("id", code.alias("code"), "found").where("code is not null")
+
+
 def inverse(entries: DataFrame, key: str, value: str) -> DataFrame:
     """value -> key of a vocabulary read backwards; values of several keys name none of them: value, key, ambiguous."""
     return entries.where(F.col(value).isNotNull()).groupBy(value).agg(F.countDistinct(key).alias("_n"), F.min(key).alias("_key")).select(value, F.when(F.col("_n") == 1, F.col("_key")).alias(key), (F.col("_n") > 1).alias("ambiguous"))

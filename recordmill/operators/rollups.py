@@ -78,6 +78,11 @@ def status_pivot(df: DataFrame, group: str, status: str, values: Sequence[str])
     return df.groupBy(group).agg(*[F.count_if(F.col(status) == v).alias(v.lower()) for v in values], F.count(F.lit(1)).alias("total"))
 
 
+def statistics(df: DataFrame, by: str, value: Column, digits: int = 6) -> DataFrame:
+    """What a quantity carries of its samples: number, mean and standard deviation (null of a single one)."""
+    return df.groupBy(by).agg(F.count(value).alias("n"), F.round(F.avg(value), digits).alias("mean"), F.round(F.stddev_samp(value), digits).alias("std_dev"))
+
+
 def fan_in(df: DataFrame, foreign: str, id_column: str) -> DataFrame:
     """Ids that refer to each key, sorted."""
     return df.groupBy(foreign).agg(F.array_sort(F.collect_list(id_column)).alias("ids"), F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import leaves
+from .references import sized
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -28,9 +31,9 @@ POLICIES = {
 }
 
 
-def issues(df: DataFrame, id_column: str, rules: Sequence[Rule]) -> DataFrame:
-    """All failures in one pass over the table."""
-    found = [F.when(F.coalesce(r.fails, F.lit(False)), F.struct(F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"), F.lit(r.path).alias("path"), F.lit(r.message).alias("message"))) for r in rules]
+def issues(df: DataFrame, id_column: str, rules: Sequence[Rule], path: str | None = None) -> DataFrame:
+    """All failures in one pass over the table. path: the column that tells where, instead of the rules' own paths."""
+    found = [F.when(F.coalesce(r.fails, F.lit(False)), F.struct(F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"), (F.col(path) if path else F.lit(r.path)).alias("path"), F.lit(r.message).alias("message"))) for r in rules]
     return df.select(F.col(id_column).alias("id"), F.explode(F.array_compact(F.array(*found))).alias("_i")).select("id", "_i.*")
 
 
@@ -59,7 +62,7 @@ def not_finite(c: Column) -> Column:
 
 def implausible_time(c: Column) -> Column:
     """Seconds outside 2000 to 2100; zero is allowed."""
-    return (c != 0) & ((c < 946_684_800) | (c >= 4_102_444_800))
+    return (c != 0) & ((c < 946_684_800) | (c > 4_102_444_800))
 
 
 def range_invalid(low: Column, typical: Column, high: Column) -> Column:
@@ -96,6 +99,39 @@ def claim_problem(quantity: Column, xs: Column, ys: Column, expression: Column,
     )
 
 
+def leaf_issues(df: DataFrame, id_column: str, column: str) -> DataFrame:
+    """Numbers anywhere in a JSON text that are not finite (errors), and times, fields named *_at, that are implausible (warnings):
+    id, code, severity, path. Texts that can hold neither are not parsed."""
+    text = F.col(column)
+    worth = text.contains('_at"') | text.contains("NaN") | text.contains("Infinity") | text.rlike(r"\d[eE]|\d{300}|\\u")
+    numbers = leaves(df, id_column, column, worth).where("kind = 'number'")
+    value = F.col("value").try_cast("double")
+    return issues(numbers, "id", [
+        Rule("value_not_finite", "error", "path", not_finite(value), "not a number"),
+        Rule("timestamp_implausible", "warning", "path", F.col("name").endswith("_at") & implausible_time(value), "time out of range"),
+    ], "path").drop("message")
+
+
+def graph_text_issues(df: DataFrame, id_column: str, column: str, terms: Sequence[str], published: bool) -> DataFrame:
+    """Classes that are neither addresses (with a colon), keywords nor known terms, and, of what is published, ids that only mean
+    something on the machine that wrote them: id, code, severity, path. Contexts are not looked at."""
+    texts = leaves(df, id_column, column, F.col(column).contains("@")).where("kind = 'text'").where(~F.col("path").rlike(r"(^|[.\]])@context\b"))
+    value = F.col("value")
+    named = F.col("path").rlike(r"(^|[.\]])@type(\[\d+\])?$") & ~value.startswith("@") & ~value.contains(":") & ~value.isin(*terms)
+    local = F.lit(published) & (F.col("name") == "@id") & (value != "") & ~value.startswith("@") & ~value.contains(":")
+    return issues(texts, "id", [Rule("jsonld.type_term_unknown", "error", "path", named, "not a term"), Rule("jsonld.id_not_portable", "error", "path", local, "a local id")], "path").drop("message")
+
+
+def mappability(values: DataFrame, classes: DataFrame, also_known: Sequence[str] = ()) -> DataFrame:
+    """Properties that an export loses, as warnings: id, property, code. Those without a class, those with nothing but a text, and
+    of several properties of one class the second by pos. values: id, pos, property, number, text; classes: property, class."""
+    found = values.join(sized(classes), "property", "left").where(F.col("class").isNotNull() | ~F.col("property").isin(*also_known))
+    code = F.when(F.col("class").isNull(), "property_unmapped").when(F.col("number").isNull() & F.col("text").isNotNull(), "value_text_only")
+    alone = found.select("id", "property", code.alias("code")).where("code is not null")
+    shared = found.where("class is not null").groupBy("id", "class").agg(F.array_sort(F.collect_set(F.struct("pos", "property"))).alias("_p")).where(F.size("_p") > 1)
+    return alone.unionByName(shared.select("id", F.col("_p")[1]["property"].alias("property"), F.lit("property_alias_collision").alias("code")))
+
+
 def rendered(found: DataFrame, by: str = "id") -> DataFrame:
     """One text for each record: its issues in order of path and code."""
     line = F.format_string("[%s] %s: %s", "severity", "path", "message")

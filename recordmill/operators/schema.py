@@ -86,6 +86,19 @@ def kind_rules(kind: Column, known: list[str], path: str, severity: str = "warni
     return [Rule(f"{path}_kind_missing", severity, f"{path}_spec.kind", given.isNull(), "no kind"), Rule(f"{path}_kind_unknown", "error", f"{path}_spec.kind", ~given.isin(*[k.lower() for k in known]), "not in the vocabulary")]
 
 
+def electrode_kind_rules(kind: Column, polarity: Column, known: Mapping[str, str | None], severity: str = "warning") -> list[Rule]:
+    """An electrode's kind names an active material, whose polarity is the electrode's. known: kind -> polarity, or None of
+    materials that are not active. A missing kind is as severe as the policy says, an unknown one is an error."""
+    given = F.nullif(F.lower(F.trim(kind)), F.lit(""))
+    implied = mapped(given, {k.lower(): p or "" for k, p in known.items()})
+    return [
+        Rule("electrode_kind_missing", severity, "electrode_spec.kind", given.isNull(), "no kind"),
+        Rule("electrode_kind_unknown", "error", "electrode_spec.kind", given.isNotNull() & implied.isNull(), "not in the vocabulary"),
+        Rule("electrode_kind_not_active", "warning", "electrode_spec.kind", implied == "", "not an active material"),
+        Rule("electrode_polarity_conflict", "warning", "electrode_spec.polarity", (implied != "") & polarity.isin("positive", "negative") & (polarity != implied), "not the kind's polarity"),
+    ]
+
+
 def cell_link_rule(cells: Column, is_series: Column) -> Rule:
     """A dataset names its cell, unless it is a series."""
     return Rule("dataset_missing_cell_link", "warning", "dataset.about", ~F.coalesce(is_series, F.lit(False)) & (F.coalesce(F.size(cells), F.lit(0)) <= 0), "no cell")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import unix_of_timestamp
+
 #: Canonical columns of a series.
 COLUMNS = (
     "test_time_second", "unix_time_second", "voltage_volt", "current_ampere", "power_watt", "cycle_count", "step_count", "step_index", "charging_capacity_ah", "discharging_capacity_ah",
@@ -69,3 +71,14 @@ def raw_with_converted(files: DataFrame, path: str = "path", ending: str = ".bdf
     raw = files.where(~F.col(path).endswith(ending)).select(F.col(path), stem.alias("_stem"))
     done = files.where(F.col(path).endswith(ending)).select(F.col(path).alias("converted"), F.regexp_replace(path, re.escape(ending) + "$", "").alias("_done"))
     return raw.join(done, F.col("_stem") == F.col("_done"), "left").select(path, "converted")
+
+
+def as_records(df: DataFrame, by: str, time: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Series as records: a test for each (id, kind, started_at, ended_at in seconds) and its dataset (id, test_id, n_rows, variables
+    that hold a value, in order of names). One aggregation each, without gathering a series."""
+    measured = sorted(c for c in df.columns if c not in (by, time))
+    test_id = F.concat(F.lit("test/"), F.col(by).cast("string"))
+    tests = df.groupBy(by).agg(unix_of_timestamp(F.min(time)).alias("started_at"), unix_of_timestamp(F.max(time)).alias("ended_at")).select(test_id.alias("id"), F.lit(kind).alias("kind"), "started_at", "ended_at")
+    held = F.array_compact(F.array(*[F.when(F.count(c) > 0, F.lit(c)) for c in measured]))
+    datasets = df.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"), held.alias("variables")).select(F.concat(F.lit("dataset/"), F.col(by).cast("string")).alias("id"), test_id.alias("test_id"), "n_rows", "variables")
+    return tests, datasets

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy, identity, scalars
 from ..functions import predicates as P
 from ..functions import steps as S
-from ..operators import exports, graph, importers, records, references, rollups, rules, schema, series
+from ..operators import exports, graph, importers, publication, records, references, rollups, rules, schema, series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1010,6 +1010,141 @@ def op_raw_converted(t):
     return series.raw_with_converted(t.supplier.select(F.explode(F.array_compact(F.array(*names))).alias("path")))
 
 
+# Documents, publications and the save chain
+
+
+@query("""select event_id as id, 'value_not_finite' as code, 'error' as severity, case event_id % 4 when 1 then 'a.l[0].v' else 'a.x_at' end as path from events where event_id % 4 in (1, 3)
+union all select event_id, 'timestamp_implausible', 'warning', 'a.x_at' from events where event_id % 4 in (0, 3)""")
+def op_leaf_issues(t):
+    k = F.col("event_id") % 4
+    time = F.when(k == 0, "5").when(k == 1, "0").when(k == 2, "1704067200").otherwise("NaN")
+    document = F.concat(F.lit('{"a":{"x_at":'), time, F.lit(',"l":[{"v":'), F.when(k == 1, "1e999").otherwise("3"), F.lit("},2]}}"))
+    return rules.leaf_issues(t.events.select("event_id", document.alias("d")), "event_id", "d")
+
+
+@query("""select n_nationkey as id, 'jsonld.type_term_unknown' as code, '@type[1]' as path from nation union all select n_nationkey, 'jsonld.id_not_portable', 'n.@id' from nation
+union all select n_nationkey, 'jsonld.id_not_portable', '@id' from nation where n_nationkey % 2 = 1""")
+def op_graph_text_issues(t):
+    own = F.when(F.col("n_nationkey") % 2 == 1, F.col("n_name")).otherwise(F.concat(F.lit("x:"), "n_name"))
+    document = F.concat(F.lit('{"@context":{"@type":"other"},"@id":"'), own, F.lit('","@type":["Known","'), "n_name", F.lit('"],"n":{"@id":"c1","@type":"x:Y"}}'))
+    return rules.graph_text_issues(t.nation.select("n_nationkey", document.alias("d")), "n_nationkey", "d", ["Known"], True).select("id", "code", "path")
+
+
+@query("""select p_partkey as id, 'mystery' as property, 'property_unmapped' as code from part union all select p_partkey, 'capacity', 'value_text_only' from part where p_size % 2 = 1
+union all select p_partkey, 'nominal_capacity', 'property_alias_collision' from part where p_size % 3 = 0""")
+def op_mappability(t):
+    row = lambda pos, name, number, text: F.struct(F.lit(pos).alias("pos"), F.lit(name).alias("property"), number.alias("number"), F.lit(text).alias("text"))
+    price = F.col("p_retailprice")
+    made = F.array(row(0, "capacity", F.when(F.col("p_size") % 2 == 0, price), "x"), row(1, "mystery", price, "x"), row(2, "loading", price, "x"))
+    made = F.when(F.col("p_size") % 3 == 0, F.concat(made, F.array(row(3, "nominal_capacity", price, "x")))).otherwise(made)
+    classes = t.values([("capacity", "Capacity"), ("nominal_capacity", "Capacity")], "property string, class string")
+    return rules.mappability(t.part.select(F.col("p_partkey").alias("id"), F.inline(made)), classes, ["loading"])
+
+
+@query("""with p as (select p_partkey, p_size % 5 as k, p_partkey % 2 as odd from part) select p_partkey as id, case k when 0 then 'electrode_kind_missing' when 2 then 'electrode_kind_not_active' when 3 then 'electrode_kind_unknown' else 'electrode_polarity_conflict' end as code,
+case k when 3 then 'error' else 'warning' end as severity from p where k in (0, 2, 3) or (k = 1 and odd = 1) or (k = 4 and odd = 0)""")
+def op_electrode_kinds(t):
+    k = F.col("p_size") % 5
+    kind = F.when(k == 0, " ").when(k == 1, "Graphite").when(k == 2, "PVDF").when(k == 3, "unobtainium").otherwise("LFP ")
+    polarity = F.when(F.col("p_partkey") % 2 == 0, "negative").otherwise("positive")
+    made = schema.electrode_kind_rules(kind, polarity, {"graphite": "negative", "lfp": "positive", "pvdf": None})
+    return rules.issues(t.part, "p_partkey", made).select("id", "code", "severity")
+
+
+@query("""with p as (select p_partkey as id, p_partkey % 6 as k, p_size from part) select id, 'publication.' || code as code, severity, path from (
+select id, 'dataset_about_missing' as code, 'error' as severity, '@graph[0].schema:about' as path from p where k = 0
+union all select id, 'reference_missing_node', 'error', '@graph[0].schema:about[0].@id' from p where k in (1, 5) union all select id, 'dataset_distribution_missing', 'error', '@graph[0].schema:distribution' from p where k = 2
+union all select id, 'distribution_missing_field', 'error', '@graph[0].schema:distribution[0]' from p where k = 3 union all select id, 'distribution_url_invalid', 'error', '@graph[0].schema:distribution[0].schema:contentUrl' from p where k = 3
+union all select id, 'distribution_checksum_invalid', 'error', '@graph[0].schema:distribution[0].schema:sha256' from p where k = 4 union all select id, 'distribution_parent_invalid', 'error', '@graph[0].schema:distribution[0].schema:isPartOf' from p where k = 4
+union all select id, 'duplicate_node_id', 'error', '@graph[1].@id' from p where k = 5 union all select id, 'license_missing', 'warning', '@graph[2]' from p where p_size % 2 = 1)""")
+def op_publication_issues(t):
+    k, key = F.col("p_partkey") % 6, F.col("p_partkey").cast("string")
+    link = lambda c: F.struct(c.alias("@id"))
+    data, cell = F.concat(F.lit("https://x.org/dataset/"), key), F.concat(F.lit("https://x.org/cell/"), key)
+    file = F.struct(
+        F.when(k == 3, "nowhere").otherwise("https://x.org/f.csv").alias("schema:contentUrl"), F.when(k != 3, "text/csv").alias("schema:encodingFormat"),
+        link(F.when(k == 4, "local").otherwise(data)).alias("schema:isPartOf"), F.when(k == 4, "abc").otherwise(F.sha2(key, 256)).alias("schema:sha256"),
+    )
+    node = lambda identifier, kind, about=None, files=None, licence=None: F.struct(
+        identifier.alias("@id"), F.lit(kind).alias("@type"), (F.lit(None).cast("array<struct<`@id`:string>>") if about is None else about).alias("schema:about"),
+        (F.when(F.lit(False), F.array(file)) if files is None else files).alias("schema:distribution"), (F.lit(None).cast("string") if licence is None else licence).alias("schema:license"))
+    graph_ = F.array(
+        node(data, "schema:Dataset", F.when(k != 0, F.array(link(F.when(k == 1, "https://x.org/cell/none").otherwise(cell)))), F.when(k == 2, F.slice(F.array(file), 1, 0)).otherwise(F.array(file))),
+        node(F.when(k == 5, data).otherwise(cell), "Cell"), node(F.lit("https://x.org/catalog"), "dcat:Catalog", licence=F.when(F.col("p_size") % 2 == 0, "mit")),
+    )
+    return publication.issues(t.part.select("p_partkey", F.to_json(F.struct(graph_.alias("@graph"))).alias("d")), "p_partkey", "d", "https://x.org/", "https://x.org/dataset/")
+
+
+@query("""select 'https://x.org/n/' || n_nationkey as s, '<https://x.org/n/' || n_nationkey || '> a <https://x.org/Nation> ;' || chr(10) || '    <https://x.org/name> "' || n_name || '" ;' || chr(10) || '    <https://x.org/region> <https://x.org/r/' || n_regionkey || '> .' as value from nation""")
+def op_turtle(t):
+    made = graph.triples(t.nation, F.concat(F.lit("https://x.org/n/"), "n_nationkey"), "https://x.org/Nation", {"https://x.org/name": F.col("n_name")}, {"https://x.org/region": F.concat(F.lit("https://x.org/r/"), "n_regionkey")})
+    return graph.turtle(made)
+
+
+@query("""select 'e/' || event_id as id, event_type as kind, '{"@context":"c","@id":"e/' || event_id || '",' || case event_type when 'click' then '"@type":["Click"],"user":' || user_id else '"@type":["View","Seen"],"who":"view"' end || ',"license":"mit"}' as document
+from events where event_type in ('click', 'view')""")
+def op_json_ld_kinds(t):
+    shapes = {"click": (["Click"], {"user": F.col("user_id")}), "view": (["View", "Seen"], {"who": F.col("event_type")})}
+    return graph.json_ld_by_kind(t.events, F.concat(F.lit("e/"), "event_id"), F.col("event_type"), shapes, "c", {"license": F.lit("mit")})
+
+
+@query("""select c_custkey as id, case when c_custkey % 5 = 0 then 'reference.missing' else 'name_mismatch' end as code, case when c_custkey % 5 > 0 then n_name end as found from customer join nation on c_nationkey = n_nationkey where c_custkey % 5 = 0 or c_custkey % 3 = 0""")
+def op_disagreeing(t):
+    rows = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, F.col("c_nationkey") + 100).otherwise(F.col("c_nationkey")).alias("nation"), F.when(F.col("c_custkey") % 3 == 0, "Atlantis").otherwise(" ").alias("stated"))
+    return references.disagreeing(rows, "c_custkey", "nation", "stated", t.nation, "n_nationkey", "n_name")
+
+
+_SAVED = """select p_partkey, p_retailprice, p_partkey % 3 = 0 as old, case when p_size > 45 then 'invalid'
+when p_size % 4 = 0 and p_partkey + 7 not in (select p_partkey from part where p_size <= 45 or p_partkey % 3 = 0) then 'reference' end as problem from part"""
+
+
+def _save(t):
+    price = F.col("p_retailprice")
+    incoming = t.part.select("p_partkey", "p_retailprice")
+    stored = t.part.where("p_partkey % 3 = 0").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, price).otherwise(price + 1).alias("p_retailprice"))
+    errors = t.part.where("p_size > 45").select(F.col("p_partkey").alias("id"))
+    links = t.part.where("p_size % 4 = 0").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") + 7).alias("target"))
+    return incoming, stored, records.save_outcomes(incoming, stored, "p_partkey", ["p_retailprice"], errors, links)
+
+
+@query(f"select p_partkey, problem, case when problem is not null then 'failed' when not old then 'created' when p_partkey % 2 = 0 then 'exists' else 'updated' end as status from ({_SAVED})")
+def op_save_outcomes(t):
+    return _save(t)[2]
+
+
+@query(f"select p_partkey, case when problem is not null and p_partkey % 2 = 1 then p_retailprice + 1 else p_retailprice end as p_retailprice from ({_SAVED}) where old or problem is null")
+def op_saved(t):
+    incoming, stored, outcomes = _save(t)
+    return records.saved(incoming, stored, "p_partkey", outcomes)
+
+
+@query("select c_custkey, c_name from customer where c_acctbal >= 0")
+def op_promoted(t):
+    found = rules.issues(t.customer, "c_custkey", [rules.Rule("low", "error", "c_acctbal", F.col("c_acctbal") < 0, "below zero"), rules.Rule("high", "warning", "c_acctbal", F.col("c_acctbal") > 5000, "much")])
+    return records.promoted(t.customer.select("c_custkey", "c_name"), "c_custkey", found)
+
+
+@query("select l_returnflag, count(l_quantity) as n, round(avg(l_quantity), 4) as mean, round(stddev_samp(l_quantity), 4) as std_dev from lineitem group by l_returnflag")
+def op_statistics(t):
+    return rollups.statistics(t.lineitem, "l_returnflag", F.col("l_quantity"), 4)
+
+
+@query("select 'test/' || user_id as id, 'cycling' as kind, cast(floor(epoch(min(ts))) as bigint) as started_at, cast(floor(epoch(max(ts))) as bigint) as ended_at from events group by user_id")
+def op_series_tests(t):
+    return series.as_records(t.events, "user_id", "ts", "cycling")[0]
+
+
+@query("select 'dataset/' || user_id as id, 'test/' || user_id as test_id, count(*) as n_rows, 'event_id,' || case when count_if(event_type = 'error') > 0 then 'failed,' else '' end || 'value' as variables from events group by user_id")
+def op_series_datasets(t):
+    rows = t.events.select("user_id", "ts", "event_id", "value", F.when(F.col("event_type") == "error", 1).alias("failed"))
+    return series.as_records(rows, "user_id", "ts", "cycling")[1].withColumn("variables", text_list(F.col("variables")))
+
+
+@query("select p_partkey, p_name from part where p_type = 'SMALL'")
+def op_category(t):
+    return t.part.where(P.equals(F.col("p_type"), "SMALL")).select("p_partkey", "p_name")
+
+
 # Beyond the record engine: what Spark's own operators add
 
 

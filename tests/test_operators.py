@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from recordmill.operators import graph, importers, records, references, rollups, rules, schema, series
+from recordmill.operators import graph, importers, publication, records, references, rollups, rules, schema, series
 from recordmill.plans import query as Q
 from recordmill.sources import records as sources
 from recordmill.streaming import journal
@@ -220,3 +220,41 @@ def test_streams(spark, tmp_path):
     once = journal.once_each(read(), ["id"]).writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     once.awaitTermination()
     assert spark.sql("select count(*) from once").first()[0] == 2
+
+
+def test_leaves_of_any_document(spark):
+    texts = ['{"a": [{"b_id": "x\\"y"}, null, true], "c": NaN, "t": "\\"b_id\\": \\"no\\""}', "3", "[]", "no json", "", None, '{"a":' * 500 + '{"b_id":"deep"}' + "}" * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, d string")
+    found = rows(graph.leaves(df, "id", "d").where("id < 6"))
+    assert found == sorted([(0, "a[0].b_id", "b_id", "text", 'x"y'), (0, "a[1]", None, "nothing", None), (0, "a[2]", None, "flag", "true"), (0, "c", "c", "number", "nan"), (0, "t", "t", "text", '"b_id": "no"'), (1, "", None, "number", "3")], key=repr)
+    assert rows(graph.deep_references(df, "id", "d", ["b_id"])) == [(0, "b_id", 'x"y'), (6, "b_id", "deep")]
+    assert [r.code for r in rules.leaf_issues(df, "id", "d").collect()] == ["value_not_finite"]
+    assert rules.leaf_issues(df.limit(0), "id", "d").count() == 0
+
+
+def test_publication_of_odd_documents(spark):
+    texts = [None, "no json", "[]", '{"@graph": []}', '{"@graph": [1, "x"]}', '{"@id": "", "@type": "dcat:Catalog", "schema:license": ""}', '{"@id": 5}',
+             '{"@id": "a", "@type": ["schema:Dataset"], "schema:about": {"@id": "b"}, "schema:distribution": [3, {"schema:contentUrl": "http://", "schema:encodingFormat": null, "schema:isPartOf": {}}]}',
+             '{"@graph": [{"@id": "a"}, {"@id": "a"}, {"@id": "a", "@type": "prov:Plan", "schema:additionalProperty": [{"schema:propertyID": "g"}]}]}', '{"@id": "s/dataset/1", "@type": "schema:Dataset", "schema:about": [{"@id": "s/none"}, "s"]}']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, d string")
+    found = [(r.id, r.code.removeprefix("publication."), r.path) for r in publication.issues(df, "id", "d", "s/", "s/dataset/", ["g"]).collect()]
+    assert sorted(found) == sorted([
+        *[(i, "node_missing", "") for i in range(5)], (5, "node_missing_id", "@id"), (5, "license_missing", ""), (6, "node_missing_id", "@id"), (7, "reference_invalid", "schema:about"),
+        (7, "distribution_invalid", "schema:distribution[0]"), (7, "distribution_url_invalid", "schema:distribution[1].schema:contentUrl"), (7, "distribution_parent_invalid", "schema:distribution[1].schema:isPartOf"),
+        (8, "duplicate_node_id", "@graph[1].@id"), (8, "duplicate_node_id", "@graph[2].@id"), (8, "test_condition_unmapped", "@graph[2].schema:additionalProperty"), (9, "reference_invalid", "schema:about[1]"),
+    ])
+    assert publication.issues(df.limit(0), "id", "d", "s/", "s/").count() == 0
+
+
+def test_save_modes(spark):
+    incoming = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (None, "n")], "k int, v string")
+    stored = spark.createDataFrame([(1, "a"), (2, "x"), (9, "z")], "k int, v string")
+    errors, links = spark.createDataFrame([(4,)], "id int"), spark.createDataFrame([(3, 4), (2, 9), (1, None)], "id int, target int")
+    say = lambda **how: [tuple(r) for r in records.save_outcomes(incoming, stored, "k", ["v"], errors, links, **how).orderBy("k").collect()]
+    broken = [(3, "failed", "reference"), (4, "failed", "invalid")]
+    assert say() == [(1, "exists", None), (2, "updated", None), *broken]
+    assert say(mode="create_only") == [(1, "failed", "duplicate"), (2, "failed", "duplicate"), *broken]
+    assert say(mode="create_only", on_duplicate="return_existing") == [(1, "exists", None), (2, "exists", None), *broken]
+    assert say(dry_run=True) == [(1, "dry-run", None), (2, "dry-run", None), *broken]
+    outcomes = records.save_outcomes(incoming, stored, "k", ["v"], errors, links)
+    assert rows(records.saved(incoming, stored, "k", outcomes)) == [(1, "a"), (2, "b"), (9, "z")]
