@@ -97,13 +97,16 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
 
 
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
-    """Apply a function of one record batch to every batch; None yields nothing."""
+    """Apply a function of one record batch to every batch; None yields nothing. A worker that waits for its next task holds no
+    Arrow memory."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = function(batch)
             if out is not None:
                 yield out
+            batch = out = None
+        pa.default_memory_pool().release_unused()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

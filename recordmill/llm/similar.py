@@ -46,8 +46,8 @@ MAPS = ("_m0", "_m1", "_m2", "_m3")
 COUNTERS = 1 << 19
 #: Nodes of one shingle that are compared in one piece of work; more are dealt out by pairs of tiles.
 TILE = 1024
-#: Words whose hashes a worker keeps.
-KNOWN_WORDS = 500_000
+#: Words whose hashes a worker keeps (about 200 bytes each, until it ends).
+KNOWN_WORDS = 100_000
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
