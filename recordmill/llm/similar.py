@@ -7,11 +7,13 @@ differ in about ten bits, too many for bit fields to route them; so nodes meet b
 order, rare shingles first, and two sets of similarity 4/5 or more then share one of their first n - ceil(4n/5) + 1 shingles.
 Nodes that share one are compared in tiles, by exclusive-or and bit counts of fingerprints (RADIUS), by sizes, and by exclusive-or
 of parity maps: each shingle flips one of 256 bits, so that maps never differ in more bits than sets do in shingles, and at
-similarity 4/5 sets differ in no more than a ninth of their sizes' sum. The pairs that are left are verified on the whole
-texts. The order only decides the cost; it comes from a sketch of counts over all texts.
+similarity 4/5 sets differ in no more than a ninth of their sizes' sum. In tiles the maps grow with the sets (WIDEST), so that
+texts of one mould that are less similar are told apart there. The pairs that are left are verified on the whole texts. The
+order only decides the cost; it comes from a sketch of counts over all texts.
 
-A large group of near copies costs links by member, not by pair: nodes are compared with a few leaders of each shared shingle
-first, and pairs that these links connect already are never listed. Texts travel compressed, and only those of candidates;
+A large group of near copies costs links by member, not by pair: shingles that the same nodes share are one; nodes are compared
+with a few leaders of each shingle first, then each piece of work hands on a spanning forest of its pairs, and pairs that these
+links connect already are never listed. Texts travel compressed, and only those of candidates;
 everything else is decided on row numbers. What carries much is joined with the numbers of the rows that go, not of those that
 stay: they are fewer as a rule, and where Spark finds them small enough for a broadcast, nothing else moves.
 """
@@ -42,6 +44,8 @@ SIMILAR = (4, 5)
 RADIUS = 24
 #: Words of 64 bits of a node's parity map.
 MAPS = ("_m0", "_m1", "_m2", "_m3")
+#: Bits of the widest map that travels into tiles; the map of a smaller set has two to four bits a shingle.
+WIDEST = 4096
 #: Counters of the sketch of shingle counts, a power of two; its sums (8 bytes each) are what the driver gets, whatever the input.
 COUNTERS = 1 << 19
 #: Nodes of one shingle that are compared in one piece of work; more are dealt out by pairs of tiles.
@@ -137,6 +141,29 @@ def parity(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def wide(found: np.ndarray) -> bytes:
+    """A parity map of two to four bits a shingle, 256 at least and WIDEST at most. Half of it on the other half, by exclusive-or,
+    is the map of half the width."""
+    bits = min(WIDEST, max(256, 1 << (2 * len(found) - 1).bit_length()))
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _apart(left: np.ndarray, right: np.ndarray, maps: np.ndarray) -> np.ndarray:
+    """In how many bits the maps of each pair (places in maps) differ, at the lesser width of the two."""
+    out = np.zeros(len(left), np.int64)
+    words = np.fromiter((len(m) // 8 for m in maps), np.int64, len(maps))
+    width = np.minimum(words[left], words[right])
+    for w in np.unique(width).tolist():
+        mine = np.flatnonzero(width == w)
+        rows, place = np.unique(np.concatenate([left[mine], right[mine]]), return_inverse=True)
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(maps[r], np.uint64).reshape(-1, w), axis=0) for r in rows.tolist()])
+        for at in range(0, len(mine), step := (1 << 20) // w):
+            i, j = place[: len(mine)][at : at + step], place[len(mine) :][at : at + step]
+            out[mine[at : at + step]] = np.bitwise_count(folded[i] ^ folded[j]).sum(1, dtype=np.int64)
+    return out
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
     values = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
@@ -145,7 +172,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def marks(df: DataFrame, text: str = "text") -> DataFrame:
     """A written table of the rows: the columns as _in_0, _in_1, … but the text, which is compressed (z); a number (_row); the
-    set's digest (_set), size (_size), fingerprint (_fp), parity map (_m0 to _m3) and first shingles (_first)."""
+    set's digest (_set), size (_size), fingerprint (_fp), parity maps (_m0 to _m3, _map) and first shingles (_first)."""
     spark = df.sparkSession
     counts = spark.sparkContext.broadcast(counted(df, text))  # of fixed size
     names = [n for n in df.columns if n != text]
@@ -161,12 +188,13 @@ def marks(df: DataFrame, text: str = "text") -> DataFrame:
             "_size": pa.array([len(s) for s in sets], pa.int32()),
             "_fp": pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64)),
             **dict(zip(MAPS, map(pa.array, np.array([parity(s) for s in sets], np.int64).reshape(-1, 4).T), strict=True)),
+            "_map": pa.array([wide(s) for s in sets], pa.binary()),
             "_first": _lists([prefix(s, order) for s in sets]),
         }
         kept = [n for n in batch.schema.names if n != "_words"]
         return pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], *added.values()], names=[*kept, *added])
 
-    schema = T.StructType([*placed.drop("_words").schema.fields, *T.StructType.fromDDL("z binary, _set binary, _size int, _fp long, _m0 long, _m1 long, _m2 long, _m3 long, _first array<long>").fields])
+    schema = T.StructType([*placed.drop("_words").schema.fields, *T.StructType.fromDDL("z binary, _set binary, _size int, _fp long, _m0 long, _m1 long, _m2 long, _m3 long, _map binary, _first array<long>").fields])
     return cut(map_arrow(placed, run, schema))
 
 
@@ -232,6 +260,16 @@ def _tokens(marked: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
+def _told_apart(tokens: DataFrame) -> DataFrame:
+    """Of shingles that the same nodes share, one; the others would list the same pairs. Equal sets of nodes are known by two
+    64-bit hashes, their number and their least and greatest node."""
+    whose = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("_a"), F.max("node").alias("_b"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"_x{i}") for i in (3, 4)])
+    one = cut(whose.groupBy("_n", "_a", "_b", "_x3", "_x4").agg(F.min("h").alias("h")).select("h"))
+    out = cut(tokens.join(one, "h"))
+    discard(one)
+    return out
+
+
 def _with_leaders(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (u, v), u < v, that are close, of nodes with leaders of a shingle they share: the first node, the last and two by hashes."""
     led = tokens.groupBy("h").agg(F.array(F.min("node"), F.max("node"), F.min_by("node", F.xxhash64("node", F.lit(1))), F.min_by("node", F.xxhash64("node", F.lit(2)))).alias("leaders"))
@@ -245,8 +283,9 @@ def _with_leaders(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(near).select("u", "v")
 
 
-def _listed(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes of the same piece of work whose fingerprints and sizes are close and whose parts differ."""
+def _listed(columns: dict[str, np.ndarray], forest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes of the same piece of work whose fingerprints, sizes and maps are close and whose parts differ; forest: of
+    these only some that connect the same parts."""
     changed = np.zeros(len(columns["h"]), bool)
     changed[1:] = False
     for c in ("h", "low", "high"):
@@ -280,16 +319,47 @@ def _listed(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     left, right = left[good], right[good]
     differ = sum(np.bitwise_count(columns[c][left].view(np.uint64) ^ columns[c][right].view(np.uint64)).astype(np.int64) for c in MAPS)
     good = (x + y) * differ <= (y - x) * (size[left] + size[right])
+    left, right = left[good], right[good]
+    good = np.ones(len(left), bool)
+    if "_map" in columns and len(left):
+        good = (x + y) * _apart(left, right, columns["_map"]) <= (y - x) * (size[left] + size[right])
     if (columns["low"] != columns["high"]).any():  # small pieces of two tiles list pairs inside a tile too, which are harmless
         good &= node[left] != node[right]
-    u, v = node[left[good]], node[right[good]]
+    left, right = left[good], right[good]
+    if forest and len(left):
+        _, firsts = np.unique(np.sort(np.stack([part[left], part[right]]), axis=0), axis=1, return_index=True)
+        firsts = firsts[_joining(part[left[firsts]], part[right[firsts]])]
+        left, right = left[firsts], right[firsts]
+    u, v = node[left], node[right]
     both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1) if len(u) else np.zeros((2, 0), np.int64)
     return both[0], both[1]
 
 
-def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joining(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """The places of links that join what the links before leave apart."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(p, p)
+        return x
+
+    out = []
+    for n, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        if (x := root(x)) != (y := root(y)):
+            parent[max(x, y)] = min(x, y)
+            out.append(n)
+    return out
+
+
+def _forests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the pairs of each piece of work, by parts."""
+    return _pieces(batches, True)
+
+
+def _pieces(batches: Iterable[pa.RecordBatch], forest: bool = False) -> Iterator[pa.RecordBatch]:
     """Pairs of each piece of work; the input is sorted by (h, low, high). Only the last piece of a batch is held over."""
-    names = ("h", "low", "high", "tile", "node", "part", "_size", "_fp", *MAPS)
+    names = ("h", "low", "high", "tile", "node", "part", "_size", "_fp", *MAPS, "_map")
     held = None
     for batch in batches:
         now = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
@@ -299,17 +369,18 @@ def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
         held = {n: now[n][last:] for n in names}
         if last:
-            yield _pairs_batch(*_listed({n: now[n][:last] for n in names}))
+            yield _pairs_batch(*_listed({n: now[n][:last] for n in names}, forest))
     if held is not None:
-        yield _pairs_batch(*_listed(held))
+        yield _pairs_batch(*_listed(held, forest))
 
 
 def _pairs_batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def _left_over(tokens: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a shingle, that the links found so far leave in different parts, and that are close."""
+def _left_over(tokens: DataFrame, found: DataFrame, marked: DataFrame, pieces=_pieces) -> DataFrame:
+    """Pairs of nodes that share a shingle, that the links found so far leave in different parts, and that are close; of each
+    piece of work what `pieces` hands on."""
     parts = components(found).withColumnRenamed("node", "_node")
     now = cut(tokens.join(parts, F.col("node") == F.col("_node"), "left").select("node", "h", F.coalesce("component", "node").alias("part")))
     still = now.groupBy("h").agg(F.min("part").alias("_a"), F.max("part").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a <> _b")
@@ -317,8 +388,8 @@ def _left_over(tokens: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFra
     dealt = now.join(still.select("h", tiles.alias("_tiles")), "h").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("_tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
     dealt = dealt.select("h", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "part")
-    dealt = dealt.join(nodes.select("node", "_size", "_fp", *MAPS).hint("merge"), "node")
-    out = cut(dealt.repartition("h", "low", "high").sortWithinPartitions("h", "low", "high").mapInArrow(_pieces, "u long, v long").distinct())
+    dealt = dealt.join(marked.select(F.col("_row").alias("node"), "_size", "_fp", *MAPS, "_map").hint("merge"), "node")
+    out = cut(dealt.repartition("h", "low", "high").sortWithinPartitions("h", "low", "high").mapInArrow(pieces, "u long, v long").distinct())
     discard(now)
     return out
 
@@ -357,14 +428,20 @@ def _verified(pairs: DataFrame, marked: DataFrame) -> DataFrame:
 def links(marked: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (u, v) that connect exactly what pairs of similar nodes connect. nodes: one row (node, _size, _fp, parity map) for each
     distinct set, by one of its rows."""
-    tokens = _tokens(marked, nodes)
+    every = _tokens(marked, nodes)
     release(marked.sparkSession)
+    tokens = _told_apart(every)
+    discard(every)
     near = _verified(_with_leaders(tokens, nodes), marked)
-    rest = _left_over(tokens, near, nodes)
-    release(marked.sparkSession)
-    more = _verified(rest, marked)
-    out = cut(near.unionByName(more))
-    discard(tokens, near, rest, more)
+    made = [near]
+    for pieces in (_forests, _pieces):
+        rest = _left_over(tokens, near, marked, pieces)
+        release(marked.sparkSession)
+        more = _verified(rest, marked)
+        near = near.unionByName(more)
+        made += [rest, more]
+    out = cut(near)
+    discard(tokens, *made)
     return out
 
 

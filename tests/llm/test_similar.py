@@ -102,3 +102,45 @@ def test_parity_maps_bound_the_difference():
         a, b = (np.unique(rng.integers(0, 300, 200).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
         differ = int(np.bitwise_count(similar.parity(a).view(np.uint64) ^ similar.parity(b).view(np.uint64)).sum())
         assert differ <= len(np.setxor1d(a, b))
+
+
+def test_texts_of_one_mould_make_few_pairs(spark):
+    """Texts that share much and are less similar than 4/5: a pair of them is hardly ever listed, and links are still found."""
+    random.seed(5)
+    words = [f"w{i}" for i in range(5000)]
+    base = [random.choice(words) for _ in range(400)]
+    rows = []
+    for n in range(120):
+        now = list(base)
+        for at in range(3 + n % 3, 400, 34):  # a dozen words, some 60 of 396 shingles: similarity 0.74 to each other
+            now[at] = random.choice(words)
+        rows.append((n, " ".join(now)))
+        if n % 10 == 0:  # a near copy that only its own text is like
+            rows.append((1000 + n, " ".join([*now[:-2], "other", "end"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in similar.drop_similar(df).collect()) == survivors(rows)
+    marked = similar.marks(df)
+    nodes = marked.select(F.col("_row").alias("node"), "_size", "_fp", *similar.MAPS)
+    tokens = similar._told_apart(similar._tokens(marked, nodes))
+    none = tokens.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
+    listed = {tuple(r) for r in similar._left_over(tokens, none, marked).collect()}
+    sets = {r._row: plain(t) for r, (_, t) in zip(sorted(marked.select("_row", "_in_0").collect(), key=lambda r: r._in_0), sorted(rows), strict=True)}
+    near = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert near <= listed and len(listed) < len(near) + len(rows)
+    forest = {tuple(r) for r in similar._left_over(tokens, none, marked, similar._forests).collect()}
+    assert forest <= listed
+
+
+def test_shingles_of_the_same_nodes_are_one(spark):
+    tokens = spark.createDataFrame([(h, n) for h, ns in {1: (1, 2), 2: (2, 1), 3: (1, 2, 3), 4: (1, 3), 5: (3, 2, 1)}.items() for n in ns], "h long, node long")
+    assert sorted(tuple(r) for r in similar._told_apart(tokens).collect()) == [(1, 1), (1, 2), (3, 1), (3, 2), (3, 3), (4, 1), (4, 3)]
+
+
+def test_maps_of_any_width_bound_the_difference():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, k, k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(7)) for k in (3, 150, 300, 320, 900, 5000)]
+    maps = np.array([similar.wide(s) for s in sets], object)
+    assert {len(m) * 8 for m in maps} >= {256, 512, similar.WIDEST}
+    left, right = (x.ravel() for x in np.meshgrid(range(len(sets)), range(len(sets))))
+    for a, b, n in zip(left, right, similar._apart(left, right, maps), strict=True):
+        assert n <= len(np.setxor1d(sets[a], sets[b])) and (a != b or n == 0)
