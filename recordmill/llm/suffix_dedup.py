@@ -8,7 +8,9 @@ row for each run of windows (about one for 40 bytes of text), not one for each s
 1. anchors met once in the corpus are dropped: no string around them can repeat;
 2. runs whose bytes are equal as a whole need no sorting: all but the first are repeats;
 3. buckets that hold different runs are sorted, a block of whole buckets at a time, with a difference cover (see suffixes),
-   so memory is bounded by a block; neighbours with a common prefix of LENGTH or more are one string;
+   so memory is bounded by a block; neighbours with a common prefix of LENGTH or more are one string. A window reaches HALF
+   bytes or more beyond its anchor on one side: windows whose anchor with that side is met once in the bucket aren't sorted,
+   since in a larger corpus more and more texts share an anchor by chance alone;
 4. a bucket of more than BUCKET different runs is split by sampled splitters into ranges of its strings, each of a block's
    size, and the parts are sorted in the same way.
 
@@ -37,6 +39,8 @@ from .suffixes import equal_runs, sorted_suffixes
 
 LENGTH = 100
 GRAM = 16
+#: What a window has beyond its anchor on one of its sides, at least.
+HALF = (LENGTH - GRAM) // 2
 #: A bucket of more different runs than this (some 3 MB of bytes) is split into parts, which tasks sort.
 BUCKET = 20_000
 #: Bytes of runs sorted at once in a task.
@@ -47,6 +51,19 @@ _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) |
 _BASE = 0x9E3779B97F4A7C15
 
 
+def _grams(data: np.ndarray) -> np.ndarray:
+    """The hash of the GRAM bytes that start at each place."""
+    h = _BYTES[data]
+    base, step = _BASE, 1
+    while step < GRAM:
+        h = h[:-step] * np.uint64(base) + h[step:]
+        base, step = base * base % (1 << 64), step * 2
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h
+
+
 def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows that share their anchor: anchor hash, text's number, first window (in data), number of windows.
 
@@ -55,14 +72,7 @@ def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = L
     width = length - GRAM + 1
     found: list[tuple[np.ndarray, ...]] = []
     for at in range(0, max(0, len(data) - length + 1), CHUNK):
-        h = _BYTES[data[at : at + CHUNK + length - 1]]
-        base, step = _BASE, 1
-        while step < GRAM:
-            h = h[:-step] * np.uint64(base) + h[step:]
-            base, step = base * base % (1 << 64), step * 2
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(29)
+        h = _grams(data[at : at + CHUNK + length - 1])
         least = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64)
         step = 1
         while 2 * step <= width:
@@ -121,26 +131,88 @@ def _sort_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeats among the runs of whole buckets. The input is sorted by bucket (h); columns h, row, start, n, run."""
     held: list[tuple] = []
     size = 0
+    block = _Block()
+
+    def sift() -> Iterator[pa.RecordBatch]:
+        block.add(held)
+        if block.size >= BLOCK:
+            yield from emit()
 
-    def emit() -> pa.RecordBatch | None:
-        spans = _repeats(held)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in spans], names=["row", "a", "b"]) if len(spans[0]) else None
+    def emit() -> Iterator[pa.RecordBatch]:
+        spans = block.repeats()
+        if len(spans[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in spans], names=["row", "a", "b"])
 
     for batch in batches:
         for item in zip(*[batch.column(n).to_pylist() for n in ("h", "row", "start", "n", "run")], strict=True):
             if size >= BLOCK and held[-1][0] != item[0]:
-                if (out := emit()) is not None:
-                    yield out
+                yield from sift()
                 held, size = [], 0
             held.append(item)
             size += len(item[4])
-    if held and (out := emit()) is not None:
-        yield out
-
-
-def _repeats(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    h, row, start, n = (np.array(x, np.int64) for x in list(zip(*held, strict=True))[:4])
-    block = np.frombuffer(b"".join(x[4] for x in held), np.uint8)
+    if held:
+        yield from sift()
+        yield from emit()
+
+
+def _shared(block: np.ndarray, begins: np.ndarray, n: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last but one of each run's windows that may be met in another run of its bucket: those that hold HALF bytes
+    before the anchor, if these and the anchor are met again, and those that hold HALF bytes behind it, if these are. Hashes
+    that meet by chance only keep more windows."""
+    grams, width = _grams(block), LENGTH - GRAM + 1
+    tries = width + 1 - n  # the anchor is the first gram of hash h among those that all windows of the run hold
+    at, item = ragged(begins + n - 1, tries), np.repeat(np.arange(len(n)), tries)
+    hit = np.flatnonzero(grams[at] == h[item].view(np.uint64))
+    anchor = at[hit[np.unique(item[hit], return_index=True)[1]]]
+    place = anchor - begins
+
+    def met(there: np.ndarray, side: int) -> np.ndarray:
+        mine, out = np.flatnonzero(there), np.zeros(len(n), bool)
+        key = grams[anchor[mine]]
+        for reach in range(HALF, 0, -GRAM):
+            key = (key ^ grams[anchor[mine] + side * reach]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        _, which, times = np.unique(key, return_inverse=True, return_counts=True)
+        out[mine] = times[which] > 1
+        return out
+
+    before, behind = met(place >= HALF, -1), met(place - (n - 1) <= HALF, 1)
+    border = place - HALF  # the window with HALF bytes on both sides
+    low = np.where(before, 0, np.maximum(border, 0))
+    high = np.where(behind, n, np.minimum(border + 1, n))
+    return low, np.where(before | behind, np.maximum(high, low), low)
+
+
+class _Block:
+    """Runs of whole buckets, without the windows that are met once, until they are enough to be sorted."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, held: list[tuple]) -> None:
+        h, row, start, n = (np.array(x, np.int64) for x in list(zip(*held, strict=True))[:4])
+        data = np.frombuffer(b"".join(x[4] for x in held), np.uint8)
+        sizes = n + LENGTH - 1
+        begins = np.cumsum(sizes) - sizes
+        low, high = _shared(data, begins, n, h)
+        left = np.flatnonzero(high > low)
+        low, n = low[left], (high - low)[left]
+        self.parts.append((h[left], row[left], start[left] + low, n, data[ragged(begins[left] + low, n + LENGTH - 1)]))
+        self.size += len(self.parts[-1][4])
+
+    def repeats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The spans of repeats; the block is empty afterwards."""
+        if not self.parts:
+            return tuple(np.zeros(0, np.int64) for _ in range(3))  # type: ignore[return-value]
+        h, row, start, n, block = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.__init__()
+        return _repeats(h, row, start, n, block)
+
+
+def _repeats(h: np.ndarray, row: np.ndarray, start: np.ndarray, n: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not len(h):
+        return tuple(np.zeros(0, np.int64) for _ in range(3))  # type: ignore[return-value]
     sizes = n + LENGTH - 1
     begins = np.cumsum(sizes) - sizes
     at = ragged(begins, n)

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from recordmill.llm import repetition, suffix_dedup, suffixes
@@ -130,3 +131,38 @@ def test_repetition_columns(spark):
     many = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(400)) + (" " + " ".join(f"r{i}" for i in range(61))) * 2)], "doc_id long, text string")
     row = repetition.rules(many.withColumn("text", F.col("text"))).first()
     assert not row.base_failed and not row.kept  # 122 of 522 words are covered, but one repeat is too long
+
+
+def test_windows_of_anchors_met_by_chance_are_not_sorted(monkeypatch):
+    """Runs that share an anchor and little else never reach the sort; each window that is met again does."""
+    rng = np.random.default_rng(7)
+    texts = []
+    for n in range(60):
+        own = lambda k: rng.integers(97, 123, k).astype(np.uint8)  # noqa: E731, B023
+        texts.append(np.concatenate([own(200), np.frombuffer(b"the very same 16 bytes and more.", np.uint8), own(200)]).tobytes())
+    shared = rng.integers(97, 123, 130).astype(np.uint8).tobytes()
+    texts[10] = texts[10][:150] + shared + texts[10][150:]
+    texts[40] = texts[40][:90] + shared + texts[40][90:]
+    texts[50] = texts[20][100:330]
+    ends = np.cumsum([len(t) for t in texts])
+    joined = b"".join(texts)
+    h, doc, at, n = suffix_dedup.runs(np.frombuffer(joined, np.uint8), ends - [len(t) for t in texts], ends)
+    rows = [(int(h[i].view(np.int64)), int(doc[i]), int(at[i] - (ends[doc[i]] - len(texts[doc[i]]))), int(n[i]), joined[at[i] : at[i] + n[i] + 99]) for i in range(len(h))]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("h", "row", "start", "n", "run"), r, strict=True)) for r in sorted(rows)])
+    sorted_ = []
+    monkeypatch.setattr(suffix_dedup, "sorted_suffixes", lambda block, at, *rest: sorted_.append(len(at)) or suffixes.sorted_suffixes(block, at, *rest))
+    spans = lambda: {(r, i) for b in suffix_dedup._sort_blocks(iter([batch])) for r, a, e in zip(*[c.to_pylist() for c in b.columns], strict=True) for i in range(a, e - 99)}
+    found, total = spans(), sum(sorted_)
+    seen, want, times = {}, set(), {}
+    for r, t in enumerate(texts):
+        for i in range(len(t) - 99):
+            times[t[i : i + 100]] = times.get(t[i : i + 100], 0) + 1
+            if seen.setdefault(t[i : i + 100], (r, i)) != (r, i):
+                want.add((r, i))
+    assert found == want and len(want) == 31 + 131
+    repeated = sum(k for k in times.values() if k > 1)
+    met = sum(r[3] for r in rows if sum(q[0] == r[0] for q in rows) > 1)
+    assert repeated <= total < (repeated + met) / 2
+    for size in (1, 5000, len(joined)):  # blocks that end with a bucket, and with the last one
+        monkeypatch.setattr(suffix_dedup, "BLOCK", size)
+        assert spans() == want
